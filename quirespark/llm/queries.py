@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quirespark.llm import packing, simhash, transport
+from quirespark.llm import packing, simhash, suffixes, transport
 from quirespark.llm.common import table
 
 
@@ -21,9 +21,14 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.digests(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op2_transport_stream": op2_transport_stream,
     "op4_simhash_gray": op4_simhash_gray,
     "op7_best_fit_packing": op7_best_fit_packing,
+    "op8_suffix_dedup": op8_suffix_dedup,
 }
 ORACLES: dict[str, str] = {}
