@@ -10,7 +10,7 @@ from quirespark.llm.common import table
 
 
 def op2_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return transport.digests(transport.encode(table(spark, sf_dir, "documents")))
+    return transport.round_trip(table(spark, sf_dir, "documents"))
 
 
 def op4_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -224,15 +224,30 @@ def feature(stream: Stream) -> str:
 MEDIA = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
 
 
+#: Bytes of media of an output batch, about.
+BATCH = 4 << 20
+
+
+def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, n_bytes, media) of (id, text); batches are small whatever the texts' lengths."""
+    rows: list[tuple] = []
+    size = 0
+    for batch in batches:
+        for i, text in zip(*batch.columns, strict=True):
+            data = (text.as_py() or "").encode()
+            rows.append((i.as_py(), len(data), write(padded(data))))
+            size += len(rows[-1][2])
+            if size >= BATCH:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), MEDIA, strict=True)], schema=MEDIA)
+                rows, size = [], 0
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), MEDIA, strict=True)], schema=MEDIA)
+
+
 def encode(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, n_bytes, media): each text as a transport stream, for a media column that is kept."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = [(t or "").encode() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array([write(padded(t)) for t in texts], pa.binary())], schema=MEDIA)
-
-    return docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).mapInArrow(run, "id long, n_bytes long, media binary")
+    return docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).mapInArrow(_encoded, "id long, n_bytes long, media binary")
 
 
 def decode(media: DataFrame) -> DataFrame:
@@ -254,17 +269,23 @@ DIGEST = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_b
 DIGEST_SQL = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
+def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Reads (id, n_bytes, media) back; digests of what the media hold."""
+    for batch in batches:
+        rows = []
+        for i, n, m in zip(*batch.columns, strict=True):
+            media = m.as_py()
+            s = read(media)
+            rows.append((i.as_py(), n.as_py(), len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(s)))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), DIGEST, strict=True)], schema=DIGEST)
+
+
 def digests(media: DataFrame) -> DataFrame:
-    """Reads a media column (id, n_bytes, media) back and returns digests of what it holds."""
+    """(doc_id, n_bytes, payload_bytes, ...) of a kept media column (id, n_bytes, media)."""
+    return media.select("id", "n_bytes", "media").mapInArrow(_digested, DIGEST_SQL)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for i, n, m in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                m = m.as_py()
-                s = read(m)
-                rows.append((i.as_py(), n.as_py(), len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-32:]), len(m), hashlib.sha256(m).hexdigest(), feature(s)))
-            cols = list(zip(*rows, strict=True)) or [[]] * len(DIGEST)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, DIGEST, strict=True)], schema=DIGEST)
-
-    return media.select("id", "n_bytes", "media").mapInArrow(run, DIGEST_SQL)
+
+def round_trip(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """digests(encode(docs)) in one pass: each small batch is stored and read back before the next, so media aren't sent between processes."""
+    return docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).mapInArrow(lambda batches: _digested(_encoded(batches)), DIGEST_SQL)

@@ -56,6 +56,7 @@ def test_digests(spark):
         data = (r.text or "").encode()
         payload = data + b"\xff" * (max(1, -(-len(data) // 576)) * 576 - len(data))
         want.append((str(r.doc_id), len(data), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:])))
+    assert sorted(map(str, transport.round_trip(docs).collect())) == sorted(map(str, rows))
     assert sorted((str(r.doc_id), r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in rows) == sorted(want)
     assert transport.digests(transport.encode(documents(spark, ["x"]).limit(0))).count() == 0
 
