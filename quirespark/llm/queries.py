@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quirespark.llm import packing, simhash, suffixes, transport
+from quirespark.llm import chat, licenses, packing, quality, simhash, suffixes, transport
 from quirespark.llm.common import table
 
 
@@ -13,10 +13,18 @@ def op2_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transport.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op3_snapshot_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
 def op4_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
@@ -25,10 +33,17 @@ def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.digests(table(spark, sf_dir, "documents"))
 
 
+def op10_quality_ftrl(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     "op2_transport_stream": op2_transport_stream,
+    "op3_snapshot_chat": op3_snapshot_chat,
     "op4_simhash_gray": op4_simhash_gray,
+    "op5_license_scan": op5_license_scan,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_suffix_dedup": op8_suffix_dedup,
+    "op10_quality_ftrl": op10_quality_ftrl,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_snapshot_chat": chat.ORACLE}
