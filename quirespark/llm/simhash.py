@@ -262,3 +262,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = named.join(least, "label").select("fp", "component")
     classes = distinct.join(named, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"), "n_copies")
     return found.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_copies")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is the least of their component, with all their columns; of rows that repeat a doc_id and a text, one."""
+    found = settled(near_duplicates(docs).select("doc_id", "component_id"))
+    firsts = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__first")).distinct()
+    kept = docs.join(firsts, F.col("doc_id").cast("long").eqNullSafe(F.col("__first")), "left_semi")
+    if found.groupBy("doc_id").count().filter("count > 1").isEmpty():
+        return kept
+    return kept.dropDuplicates(["doc_id", "text"])
