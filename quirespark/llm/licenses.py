@@ -1,7 +1,8 @@
 """License scans with ordered signature rules, in DataFrame functions only.
 
-A rule is a regular expression with a label, a priority and a keyword that each of its matches contains. A text without
-any keyword is never matched; of the others only the rules whose keyword occurs are tried. A detection is dropped if
+A rule is a regular expression with a label, a priority, a keyword that each of its matches contains, and literals of
+which each contains one. A text without any gate word is never matched; of the others only the rules whose keyword and
+one of whose literals occur are tried. A detection is dropped if
 another one, of no lower priority, covers its interval (of equal intervals the higher priority and then the earlier rule
 stays). Nothing is shuffled: all arrays belong to one row.
 
@@ -12,6 +13,7 @@ table gives no rows; columns other than doc_id and text are ignored.
 from __future__ import annotations
 
 import re
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -43,7 +45,7 @@ LICENSES = {
     "unlicense": ("the unlicense", "unlicense", r"unlicense\.org"),
     "wtfpl": ("do what the f[*u][*c]k you want to public license", "wtfpl", r"wtfpl\.net"),
     "artistic-2.0": (r"artistic license,? (?:version |v)?2\.0", r"artistic-2\.0", r"opensource\.org/licenses/artistic-2\.0"),
-    "python-2.0": ("python software foundation|psf", r"(?:python-2\.0|psf-2\.0)", r"docs\.python\.org/3/license"),
+    "python-2.0": ("python software foundation|psf", r"python-2\.0", r"docs\.python\.org/3/license"),
     "ruby": ("ruby", "ruby", r"ruby-lang\.org/en/about/license"),
     "php-3.01": (r"php license,? (?:version |v)?3\.01", r"php-3\.01", r"php\.net/license/3_01"),
     "postgresql": ("postgresql", "postgresql", r"opensource\.org/licenses/postgresql"),
@@ -62,9 +64,9 @@ LICENSES = {
 }
 #: How a license is named, with {name}, {id} and {url} for the above: (pattern, priority, keyword).
 TEMPLATES = (
-    (r"spdx-license-identifier: {id}(?![\w.-])", 100, "spdx"),
-    (r"https?://(?:www\.)?{url}", 90, "http"),
-    (r"(?:is |are |be )?(?:licensed|released|distributed|published|available|provided|covered) (?:to you )?under (?:the )?(?:terms (?:and conditions )?of )?(?:the )?(?:{name})(?: licen[cs]e)?(?![\w-])", 80, "under"),
+    (r"spdx-license-identifier: {id}(?![\w.-])", 100, "spdx-license-identifier: "),
+    (r"https?://(?:www\.)?{url}", 90, "://"),
+    (r"(?:is |are |be )?(?:licensed|released|distributed|published|available|provided|covered) (?:to you )?under (?:the )?(?:terms (?:and conditions )?of )?(?:the )?(?:{name})(?: licen[cs]e)?(?![\w-])", 80, " under "),
     (r"(?:all rights reserved[.;,]? )?(?:use|usage|redistribution) (?:is |of this software is )?(?:governed by|subject to) (?:the )?(?:terms of )?(?:the )?(?:{name})(?: licen[cs]e)?(?![\w-])", 70, "licen"),
     (r"licen[cs]e ?[:=] ?[\"']?(?:{id}|{name})(?![\w-])", 60, "licen"),
     (r"(?<![\w-])(?:{name}) licen[cs]e(?![\w-])", 50, "licen"),
@@ -72,18 +74,24 @@ TEMPLATES = (
 #: Rules of single wordings: (label, pattern, priority, keyword).
 WORDINGS = (
     ("copyright", r"copyright (?:\(c\)|©)? ?(?:19|20)\d\d", 30, "copyright"),
-    ("all-rights-reserved", r"all rights reserved", 30, "rights"),
+    ("all-rights-reserved", r"all rights reserved", 30, "all rights reserved"),
     ("public-domain", r"(?:released into|dedicated to|in) the public domain", 40, "public domain"),
-    ("mit", r"permission is hereby granted, free of charge, to any person obtaining a copy", 85, "permission"),
-    ("isc", r"permission to use, copy, modify, and(?:/or)? distribute this software for any purpose", 85, "permission"),
-    ("bsd", r"redistribution and use in source and binary forms", 85, "redistribution"),
-    ("gpl", r"under the terms of the gnu general public license as published by the free software foundation", 85, "gnu"),
+    ("mit", r"permission is hereby granted, free of charge, to any person obtaining a copy", 85, "permission is hereby granted"),
+    ("isc", r"permission to use, copy, modify, and(?:/or)? distribute this software for any purpose", 85, "permission to use, copy"),
+    ("bsd", r"redistribution and use in source and binary forms", 85, "redistribution and use in"),
+    ("gpl", r"under the terms of the gnu general public license as published by the free software foundation", 85, "gnu general public license"),
     ("proprietary", r"proprietary and confidential|unauthori[sz]ed copying of this file", 40, "proprietary"),
     ("no-warranty", r"provided [\"'“]?as is[\"'”]?,? without warranty", 20, "warranty"),
 )
 #: Fixed values of the base: phrase and label.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
-WORD, WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Words of lower-cased text, and the same of any case, as Java's expressions are faster with what a class holds.
+WORD, WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[0-9A-Za-z\x80-\x{10FFFF}]+"
+#: One of these is in every match of every rule, and in every phrase.
+GATE = ("licen", "spdx", " under ", "copyright", "all rights reserved", "public domain", "permission", "redistribution", "proprietary", "unauthori", "warranty", "://")
+
+
+FOUND = "array<struct<start int, end int, priority int, rank int, label string>>"
 
 
 class Rule(NamedTuple):
@@ -91,12 +99,26 @@ class Rule(NamedTuple):
     pattern: str
     priority: int
     keyword: str
+    literals: list[str]
+
+
+def literals(pattern: str) -> list[str]:
+    """Of each alternative the longest string that all of its matches contain."""
+    gap = "\0"
+    while (shorter := re.sub(r"\(\?(?::|<?[!=])[^()]*\)\??", gap, pattern)) != pattern:
+        pattern = shorter
+    pattern = re.sub(r"\[[^\]]*\][?*+]?|\\d|[^\\]\?", gap, pattern).replace("\\", "")
+    return [max(alternative.split(gap), key=len) for alternative in pattern.split("|")]
 
 
 def rules() -> list[Rule]:
     """All rules, in their order: each license by each template, then single wordings."""
-    made = [Rule(label, template.format(name=name, id=ident, url=url), priority, keyword) for label, (name, ident, url) in LICENSES.items() for template, priority, keyword in TEMPLATES]
-    return made + [Rule(label, pattern, priority, keyword) for label, pattern, priority, keyword in WORDINGS]
+    made = []
+    for label, (name, ident, url) in LICENSES.items():
+        for template, priority, keyword in TEMPLATES:
+            named = [x for mark, part in (("{name}", name), ("{id}", ident), ("{url}", url)) if mark in template for x in literals(part)]
+            made.append(Rule(label, template.format(name=name, id=ident, url=url), priority, keyword, named))
+    return made + [Rule(label, pattern, priority, keyword, [keyword]) for label, pattern, priority, keyword in WORDINGS]
 
 
 def _lower(text: Column) -> Column:
@@ -117,17 +139,21 @@ def _base(words: Column) -> Column:
 
 
 def _found(text: Column, rule: Column) -> Column:
-    """Array of (start, end, priority, order, label) of a rule's matches: what lies between matches gives their places."""
-    matches, between = F.regexp_extract_all(text, rule["pattern"], F.lit(0)), F.split(text, rule["pattern"], -1)
-    nothing = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start int, end int, priority int, rank int, label string>>)").alias("out"))
+    """Array of (start, end, priority, rank, label) of a rule's matches: what lies between matches gives their places."""
+    nothing = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {FOUND})").alias("out"))
 
-    def step(state: Column, k: Column) -> Column:
-        start = state["at"] + F.length(F.get(between, k))
-        end = start + F.length(F.get(matches, k))
-        one = F.struct(start.alias("start"), end.alias("end"), rule["priority"].alias("priority"), rule["rank"].alias("rank"), rule["label"].alias("label"))
-        return F.struct(end.alias("at"), F.concat(state["out"], F.array(one)).alias("out"))
+    def placed(v: Column) -> Column:
+        def step(state: Column, k: Column) -> Column:
+            start = state["at"] + F.length(F.get(v["between"], k))
+            end = start + F.length(F.get(v["matches"], k))
+            one = F.struct(start.alias("start"), end.alias("end"), rule["priority"].alias("priority"), rule["rank"].alias("rank"), rule["label"].alias("label"))
+            return F.struct(end.alias("at"), F.concat(state["out"], F.array(one)).alias("out"))
 
-    return F.when(F.size(matches) > 0, F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), nothing, step, lambda s: s["out"])).otherwise(nothing["out"])
+        return F.when(F.size(v["matches"]) > 0, F.aggregate(F.sequence(F.lit(0), F.size(v["matches"]) - 1), nothing, step, lambda s: s["out"])).otherwise(nothing["out"])
+
+    # an array of one, so that both are evaluated once
+    both = F.struct(F.regexp_extract_all(text, rule["pattern"], F.lit(0)).alias("matches"), F.split(text, rule["pattern"], -1).alias("between"))
+    return F.get(F.transform(F.array(both), placed), F.lit(0))
 
 
 def _kept(found: Column, priorities: list[int]) -> Column:
@@ -153,15 +179,23 @@ def _kept(found: Column, priorities: list[int]) -> Column:
 def scan(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score and the detections kept."""
     table = rules()
-    keywords = sorted({r.keyword for r in table} | {"licen"})
-    gate = "(?i)" + "|".join(map(re.escape, keywords))
-    literal = F.array(*(F.struct(F.lit(r.label).alias("label"), F.lit(r.pattern).alias("pattern"), F.lit(r.priority).alias("priority"), F.lit(k).alias("rank"), F.lit(r.keyword).alias("keyword")) for k, r in enumerate(table)))
+    keywords = F.array(*map(F.lit, sorted({w for r in table for w in (r.keyword, *r.literals)})))
+    literal = F.array(
+        *(
+            F.struct(F.lit(r.label).alias("label"), F.lit(r.pattern).alias("pattern"), F.lit(r.priority).alias("priority"), F.lit(k).alias("rank"), F.lit(r.keyword).alias("keyword"), F.array(*map(F.lit, r.literals)).alias("literals"))
+            for k, r in enumerate(table)
+        )
+    )
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.regexp_count(text, F.lit(WORD_ANY_CASE)).cast("long").alias("n_words"), F.when(text.rlike(gate), _lower(text)).alias("low"))
+    # lower() changes other letters than A-Z too, but never the gate words
+    gate = reduce(Column.__or__, (F.contains("lowered", F.lit(w)) for w in GATE))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.regexp_count(text, F.lit(WORD_ANY_CASE)).cast("long").alias("n_words"), text.alias("text"), F.lower(text).alias("lowered"))
+    rows = rows.select("doc_id", "n_words", F.when(gate, _lower(F.col("text"))).alias("low"))
+    rows = rows.withColumn("met", F.when(F.col("low").isNotNull(), F.filter(keywords, lambda k: F.contains(F.col("low"), k))))
     base = F.when(F.contains("low", F.lit("license")), _base(F.regexp_extract_all("low", F.lit(f"({WORD})"), F.lit(1))))
-    tried = F.filter(literal, lambda r: F.contains(F.col("low"), r["keyword"]))
-    found = F.when(F.col("low").isNotNull(), F.flatten(F.transform(tried, lambda r: _found(F.col("low"), r))))
-    rows = rows.select("doc_id", "n_words", F.coalesce(base, F.expr("cast(array() as array<struct<label string, start long>>)")).alias("base"), F.coalesce(found, F.expr("cast(array() as array<struct<start int, end int, priority int, rank int, label string>>)")).alias("found"))
+    tried = F.filter(literal, lambda r: F.array_contains(F.col("met"), r["keyword"]) & F.arrays_overlap(F.col("met"), r["literals"]))
+    found = F.when(F.size("met") > 0, F.flatten(F.transform(tried, lambda r: _found(F.col("low"), r))))
+    rows = rows.select("doc_id", "n_words", F.coalesce(base, F.expr("cast(array() as array<struct<label string, start long>>)")).alias("base"), F.coalesce(found, F.expr(f"cast(array() as {FOUND})")).alias("found"))
     rows = rows.withColumn("kept", _kept(F.col("found"), sorted({r.priority for r in table})))
     starts = F.transform("base", lambda b: b["start"])
     base_labels = F.transform("base", lambda b: b["label"])

@@ -15,8 +15,7 @@ def brute(text):
         hits += [(label, i) for i in range(len(words)) if words[i : i + len(p)] == p]
     found = []
     for rank, r in enumerate(licenses.rules()):
-        if r.keyword in low:
-            found += [(m.start(), m.end(), r.priority, rank, r.label) for m in re.finditer(r.pattern, low)]
+        found += [(m.start(), m.end(), r.priority, rank, r.label) for m in re.finditer(r.pattern, low)]
     kept = []
     for k, d in enumerate(found):
         key = (d[1] - d[0], d[2], -d[3])
@@ -46,6 +45,13 @@ def test_rules_are_many_and_ordered():
     assert len(table) > 200 and len({(r.label, r.pattern) for r in table}) == len(table)
     for r in table:
         re.compile(r.pattern)
+        assert all(r.literals) and any(any(g in w for g in licenses.GATE) for w in (r.keyword, *r.literals)), r
+
+
+def test_literals():
+    assert licenses.literals(r"apache(?: software)?(?: license)?,? (?:version |v)?2(?:\.0)?") == ["apache"]
+    assert licenses.literals(r"gnu general public license,? (?:version |v)3|gpl ?v?3") == ["gnu general public license", "gpl"]
+    assert licenses.literals(r"opensource\.org/licenses/mit-0") == ["opensource.org/licenses/mit-0"]
 
 
 @pytest.mark.parametrize("clashing", [False, True])
