@@ -3,11 +3,15 @@
 A text's words (lower-cased letters, digits and bytes above 127) are cut into strides, and each two neighbouring strides
 are a passage, so that an item lies whole in one. A term's impact on an item is its BM25 weight divided by what all
 terms of the item reach together, so a score is between 0 and 1. Every passage is a query of distinct terms that
-retrieves all items of score `threshold` or more: postings are in blocks of items, each with its greatest impact by
+retrieves all items whose threshold its score reaches: postings are in blocks of items, each with its greatest impact by
 term; blocks whose impacts can't add up to the threshold are passed over, and WAND moves its pivot through the
 others. Retrieved items are verified: the share of the five-word shingles of the question (the item's first part),
 and of its answer (the rest), that the passage holds must both be 0.8 at least.
 
+An item's threshold is the least score that verification can accept: each word that a passage lacks costs a
+shingle at least, so a passage with 0.8 of the shingles lacks no more words than a fifth of their number, and
+reaches the whole score less that many of the greatest impacts. A fixed threshold may be given instead.
+
 The index is broadcast in slices of at most `slice_bytes` of item text; a larger benchmark takes a pass for each slice.
 
 Defined results: null and empty texts have no passages; null and wordless items match nothing; equal items are
@@ -52,7 +56,7 @@ class Item(NamedTuple):
 class Index:
     """Postings by term in blocks of items."""
 
-    def __init__(self, rows: list[tuple], shingle: int = 5, question_share: float = 2 / 3):
+    def __init__(self, rows: list[tuple], shingle: int = 5, share: float = 0.8, threshold: float | None = None, question_share: float = 2 / 3):
         texts = [(i, words(t)) for i, t in rows]
         texts = [(i, w) for i, w in texts if w]
         self.items = []
@@ -78,13 +82,22 @@ class Index:
             impact = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean))
             reach[at] += impact
             impacts.append((at, impact))
-        self.postings = [(at.tolist(), (impact / reach[at]).tolist()) for at, impact in impacts]
+        # impacts are in parts of the item's threshold, so that 1 reaches it
+        self.thresholds = np.array([self._threshold(k, w, impacts, reach[k], share) if threshold is None else threshold for k, (_, w) in enumerate(texts)])
+        self.postings = [(at.tolist(), (impact / reach[at] / self.thresholds[at]).tolist()) for at, impact in impacts]
         self.blocks = np.zeros((len(self.terms) + 1, -(-n // BLOCK)), np.float32)
         for t, (at, impact) in enumerate(self.postings):
             np.maximum.at(self.blocks[t], np.array(at) // BLOCK, np.float32(np.array(impact) * 1.000001))
         self.most = [max(i) for _, i in self.postings]
 
-    def search(self, query: list[int], allowed: np.ndarray, threshold: float) -> list[tuple[int, float]]:
+    def _threshold(self, k: int, found: list[bytes], impacts: list, reach: float, share: float) -> float:
+        """1 less the greatest impacts of as many words as an accepted passage may lack, times their occurrences."""
+        item = self.items[k]
+        lacking = sum(int((1 - share) * len(p) + 1e-9) for p in (item.question, item.answer))
+        own = sorted((float(i[np.searchsorted(at, k)]) for at, i in (impacts[self.terms[w]] for w in dict.fromkeys(found))), reverse=True)
+        return max(0.05, 1 - sum(own[:lacking]) / reach - 1e-9)
+
+    def search(self, query: list[int], allowed: np.ndarray, threshold: float = 1.0) -> list[tuple[int, float]]:
         """(item, score) of all items that reach the threshold, by block-max WAND. allowed: blocks that may hold any."""
         cursors = [[self.postings[t][0][0], 0, t] for t in query]
         limit = threshold * (1 - 1e-9)
@@ -125,7 +138,7 @@ class Index:
             cursors = [c for c in cursors if c[0] >= 0]
         return out
 
-    def passages(self, found: list[bytes], threshold: float) -> Iterator[tuple[int, list[int], np.ndarray]]:
+    def passages(self, found: list[bytes], threshold: float = 1.0) -> Iterator[tuple[int, list[int], np.ndarray]]:
         """(first word, distinct terms, blocks that may reach the threshold) of the passages that any block may match."""
         terms = np.fromiter((self.terms.get(w, -1) for w in found), np.int64, len(found))
         at = np.flatnonzero(terms >= 0)
@@ -144,24 +157,24 @@ class Index:
             if exact.max() * 1.00001 >= threshold:
                 yield s * self.stride, own.tolist(), exact * 1.00001 >= threshold
 
-    def matches(self, text: str | None, threshold: float, share: float, shingle: int) -> dict[int, tuple[float, float, float, int]]:
+    def matches(self, text: str | None, share: float, shingle: int) -> dict[int, tuple[float, float, float, int]]:
         """item -> (score, question overlap, answer overlap, first word) of its best verified passage."""
         found = words(text)
         out: dict[int, tuple[float, float, float, int]] = {}
-        for first, query, allowed in self.passages(found, threshold) if found else ():
+        for first, query, allowed in self.passages(found) if found else ():
             passage = found[first : first + 2 * self.stride]
             have = None
-            for item, score in self.search(query, allowed, threshold):
+            for item, score in self.search(query, allowed):
                 have = have or shingles(passage, shingle)
                 i = self.items[item]
                 # parts of fewer words than a shingle are looked for as runs of their own length
                 over = [len(p & (have if len(next(iter(p))) == shingle else shingles(passage, len(next(iter(p)))))) / len(p) if p else 1.0 for p in (i.question, i.answer)]
                 if min(over) >= share:
-                    out[item] = max(out.get(item, (0.0, 0.0, 0.0, 0)), (score, *over, first))
+                    out[item] = max(out.get(item, (0.0, 0.0, 0.0, 0)), (min(1.0, score * float(self.thresholds[item])), *over, first))
         return out
 
 
-def _find(index, threshold: float, share: float, shingle: int):
+def _find(index, share: float, shingle: int):
     schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("score", pa.float64()), ("question_overlap", pa.float64()), ("answer_overlap", pa.float64()), ("first_word", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,14 +182,14 @@ def _find(index, threshold: float, share: float, shingle: int):
         for batch in batches:
             rows = []
             for doc_id, text in zip(*batch.columns, strict=True):
-                rows += [(doc_id.as_py(), by.items[k].item_id, *m) for k, m in by.matches(text.as_py(), threshold, share, shingle).items()]
+                rows += [(doc_id.as_py(), by.items[k].item_id, *m) for k, m in by.matches(text.as_py(), share, shingle).items()]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return run, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double, first_word long"
 
 
-def find(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, share: float = 0.8, shingle: int = 5, slice_bytes: int = 16 << 20) -> DataFrame:
+def find(docs: DataFrame, benchmark: DataFrame, threshold: float | None = None, share: float = 0.8, shingle: int = 5, slice_bytes: int = 16 << 20) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap, first_word): verified items of each document, by their best passage."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -187,8 +200,8 @@ def find(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.5, share: f
     for k in range(slices):
         # a slice holds about slice_bytes of text, whatever the benchmark's size
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == k).orderBy("item_id", "text")
-        index = spark.sparkContext.broadcast(([tuple(r) for r in part.collect()], shingle))
-        run, schema = _find(index, threshold, share, shingle)
+        index = spark.sparkContext.broadcast(([tuple(r) for r in part.collect()], shingle, share, threshold))
+        run, schema = _find(index, share, shingle)
         found = rows.mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)
     best = F.max_by(F.struct("question_overlap", "answer_overlap", "first_word"), F.struct("score", -F.col("first_word"))).alias("best")

@@ -21,8 +21,8 @@ def test_wand_finds_all_above_the_threshold(seed):
     rng = random.Random(seed)
     vocabulary = [f"w{i}" for i in range(60)]
     rows = [(i, " ".join(rng.choices(vocabulary, weights=[1 / (k + 1) for k in range(60)], k=rng.randint(3, 20)))) for i in range(rng.randint(1, 90))]
-    index = leaks.Index(rows)
-    for threshold in (0.2, 0.5, 0.8):
+    for fixed in (0.2, 0.5, 0.8, None):
+        index, threshold = leaks.Index(rows, threshold=fixed), 1.0
         found = leaks.words(" ".join(rng.choices(vocabulary, k=300)))
         width = 2 * index.stride
         want = {}
