@@ -1,6 +1,9 @@
-"""Query registry: each plan module adds its queries and their SQL twins here."""
+"""The registry of queries: name -> (spark, sf_dir) -> DataFrame, and the SQL twins that compute the same from the raw tables."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from quirespark.plans import elements, layouts, markdown, pages, qa, scalars
+
+MODULES = (pages, markdown, scalars, elements, layouts, qa)
+QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
+ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
