@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirespark.functions.geometry import Box, box, crosses, meets_rows, pixel_crop, too_small
+from quirespark.functions.geometry import box, crosses, meets_rows, pixel_crop, too_small
 from quirespark.operators.elements import CONTENT, PAGE
 
 #: Regions of a kind are one if the gap is no more than this.
@@ -103,5 +103,3 @@ def slice_summary(cut: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def clipped(b: Box, y1: Column, y2: Column) -> Box:
-    return Box(b.x1, F.greatest(b.y1, y1), b.x2, F.least(b.y2, y2))
