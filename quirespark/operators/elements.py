@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quirespark.functions.geometry import box, overlap_ratio, overlaps, struct_box
 from quirespark.operators import kernels
@@ -95,18 +96,22 @@ def type_histogram(elements: DataFrame, by: Sequence[str] = PAGE) -> DataFrame:
     return counts.groupBy(*by).agg(types.alias("component_types"), F.sum("n").cast("int").alias("component_count"), F.min("x1").alias("x1"), F.min("y1").alias("y1"), F.max("x2").alias("x2"), F.max("y2").alias("y2"))
 
 
+def _by_page(rows: DataFrame, page: str, kernel, schema: str) -> DataFrame:
+    """A page-local kernel over rows with idx: one shuffle on the page, a sort within partitions, and pages by the batch."""
+    run = kernels.page_by_page(page, kernel, [page, *StructType.fromDDL(schema).fieldNames()])
+    return rows.withColumn(page, F.col(page).cast("long")).repartition(page).sortWithinPartitions(page, "idx").mapInArrow(run, f"{page} long, {schema}")
+
+
 def merge_texts(texts: DataFrame, tables: DataFrame, distance: float = 5.0, page: str = "page") -> DataFrame:
-    """(page, ord, x1, y1, x2, y2, content, n_merged): texts nearer than `distance` become one, except near a table."""
+    """(page, ord, x1, y1, x2, y2, content, n_merged): texts nearer than `distance` become one, except near a table. Pages are numbers."""
     rows = texts.select(page, F.lit(True).alias("is_text"), "idx", *BOX, "content").unionByName(tables.select(page, F.lit(False).alias("is_text"), "idx", *BOX, F.lit(None).cast("string").alias("content")))
-    kind = texts.schema[page].dataType.simpleString()
-    return rows.groupBy(page).applyInArrow(kernels.merge_texts_of_page(page, distance), f"{page} {kind}, ord int, x1 double, y1 double, x2 double, y2 double, content string, n_merged int")
+    return _by_page(rows, page, kernels.merge_texts_of_page(page, distance), "ord int, x1 double, y1 double, x2 double, y2 double, content string, n_merged int")
 
 
 def merge_vector_graphics(elements: DataFrame, side: float = 30.0, rounds: int = 10, page: str = "page") -> DataFrame:
-    """Elements of a page with dense groups that hold a line and an image merged into vector graphics."""
-    kind = elements.schema[page].dataType.simpleString()
-    schema = f"{page} {kind}, ord int, type string, x1 double, y1 double, x2 double, y2 double, component_types map<string,int>, component_details array<struct<type string, x1 double, y1 double, x2 double, y2 double, idx long>>, component_count int"
-    return elements.select(page, F.col("idx").cast("long").alias("idx"), "type", *BOX).groupBy(page).applyInArrow(kernels.vector_graphics_of_page(page, side, rounds), schema)
+    """Elements of a page with dense groups that hold a line and an image merged into vector graphics. Pages are numbers."""
+    schema = "ord int, type string, x1 double, y1 double, x2 double, y2 double, component_types map<string,int>, component_details array<struct<type string, x1 double, y1 double, x2 double, y2 double, idx long>>, component_count int"
+    return _by_page(elements.select(page, F.col("idx").cast("long").alias("idx"), "type", *BOX), page, kernels.vector_graphics_of_page(page, side, rounds), schema)
 
 
 def union_box(elements: DataFrame, by: Sequence[str]) -> DataFrame:

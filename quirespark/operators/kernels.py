@@ -1,13 +1,15 @@
-"""Page-local algorithms whose result depends on the order of the elements: plain functions, run by grouped Arrow maps.
+"""Page-local algorithms whose result depends on the order of the elements: plain functions, run by Arrow maps over pages.
 
-A page is small; a kernel sees one page at a time.
+A page is small; a kernel sees one page at a time, and a batch holds many pages.
 """
 
 from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pyarrow as pa
 
@@ -100,36 +102,63 @@ def vector_graphics(elements: list[dict], side: float = 30.0, rounds: int = 10)
     return elements
 
 
-def _rows(table: pa.Table) -> list[dict]:
-    return sorted(table.to_pylist(), key=lambda r: r["idx"])
+BOX = ("x1", "y1", "x2", "y2")
+Batches = Iterator[pa.RecordBatch]
 
 
-def merge_texts_of_page(page: str, distance: float) -> Callable[[pa.Table], pa.Table]:
-    def run(table: pa.Table) -> pa.Table:
-        rows = _rows(table)
-        box = lambda r: (r["x1"], r["y1"], r["x2"], r["y2"])
-        merged = merge_texts([(box(r), r["content"] or "") for r in rows if r["is_text"]], [box(r) for r in rows if not r["is_text"]], distance)
-        schema = pa.schema([(page, table.schema.field(page).type), ("ord", pa.int32()), *((c, pa.float64()) for c in ("x1", "y1", "x2", "y2")), ("content", pa.string()), ("n_merged", pa.int32())])
-        key = rows[0][page]
-        return pa.Table.from_pylist([{page: key, "ord": k, "x1": b[0], "y1": b[1], "x2": b[2], "y2": b[3], "content": c, "n_merged": n} for k, (b, c, n) in enumerate(merged)], schema=schema)
+def page_by_page(key: str, page_rows: Callable[[list[dict]], list[dict]], names: list[str]) -> Callable[[Batches], Batches]:
+    """A map over batches that come sorted by page: page_rows() gets the rows of one page at a time, its result one batch per input batch.
 
+    Pages may go on in the next batch; only the last one is held back.
+    """
+
+    def run(batches: Batches) -> Batches:
+        held: list[dict] = []
+        for batch in batches:
+            rows = held + batch.to_pylist()
+            done = len(rows)
+            while done and rows[done - 1][key] == rows[-1][key]:
+                done -= 1
+            held = rows[done:]
+            if done:
+                yield made(rows[:done])
+        if held:
+            yield made(held)
+
+    def made(rows: list[dict]) -> pa.RecordBatch:
+        out = [r for _, own in groupby(rows, itemgetter(key)) for r in page_rows(list(own))]
+        return pa.RecordBatch.from_pylist(out, schema=run.schema)
+
+    run.schema = pa.schema([(n, KINDS[n]) if n in KINDS else (n, pa.int64()) for n in names])
     return run
 
 
-def vector_graphics_of_page(page: str, side: float, rounds: int) -> Callable[[pa.Table], pa.Table]:
-    detail = pa.struct([("type", pa.string()), *((c, pa.float64()) for c in ("x1", "y1", "x2", "y2")), ("idx", pa.int64())])
+_DETAIL = pa.struct([("type", pa.string()), *((c, pa.float64()) for c in BOX), ("idx", pa.int64())])
+KINDS = {"ord": pa.int32(), **dict.fromkeys(BOX, pa.float64()), "content": pa.string(), "n_merged": pa.int32(), "type": pa.string(), "component_types": pa.map_(pa.string(), pa.int32()), "component_details": pa.list_(_DETAIL), "component_count": pa.int32()}
+
+
+def _box(row: dict) -> Box:
+    return row["x1"], row["y1"], row["x2"], row["y2"]
+
 
-    def run(table: pa.Table) -> pa.Table:
-        rows = _rows(table)
-        found = vector_graphics([{"type": r["type"], "box": (r["x1"], r["y1"], r["x2"], r["y2"]), "idx": r["idx"]} for r in rows], side, rounds)
-        schema = pa.schema([(page, table.schema.field(page).type), ("ord", pa.int32()), ("type", pa.string()), *((c, pa.float64()) for c in ("x1", "y1", "x2", "y2")), ("component_types", pa.map_(pa.string(), pa.int32())), ("component_details", pa.list_(detail)), ("component_count", pa.int32())])
-        names = ("type", "x1", "y1", "x2", "y2", "idx")
+def merge_texts_of_page(page: str, distance: float) -> Callable[[list[dict]], list[dict]]:
+    def of_page(rows: list[dict]) -> list[dict]:
+        merged = merge_texts([(_box(r), r["content"] or "") for r in rows if r["is_text"]], [_box(r) for r in rows if not r["is_text"]], distance)
+        return [{page: rows[0][page], "ord": k, **dict(zip(BOX, b, strict=True)), "content": c, "n_merged": n} for k, (b, c, n) in enumerate(merged)]
+
+    return of_page
+
+
+def vector_graphics_of_page(page: str, side: float, rounds: int) -> Callable[[list[dict]], list[dict]]:
+    names = ("type", *BOX, "idx")
+
+    def of_page(rows: list[dict]) -> list[dict]:
         out = []
-        for k, e in enumerate(found):
-            row = {page: rows[0][page], "ord": k, "type": e["type"], **dict(zip(names[1:5], e["box"], strict=True))}
+        for k, e in enumerate(vector_graphics([{"type": r["type"], "box": _box(r), "idx": r["idx"]} for r in rows], side, rounds)):
+            row = {page: rows[0][page], "ord": k, "type": e["type"], **dict(zip(BOX, e["box"], strict=True))}
             if "types" in e:
                 row |= {"component_types": list(e["types"].items()), "component_details": [dict(zip(names, d, strict=True)) for d in e["details"]], "component_count": e["count"]}
             out.append(row)
-        return pa.Table.from_pylist(out, schema=schema)
+        return out
 
-    return run
+    return of_page

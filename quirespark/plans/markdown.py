@@ -76,4 +76,9 @@ ORACLES = {
     "md_validate": "SELECT doc_id, regexp_matches(text, '[^\\s\\x{1c}-\\x{1f}\\x{85}\\p{Z}]') AS valid, length(text) AS content_length FROM documents",
     "image_refs": """SELECT p_partkey, CAST(ord AS BIGINT) AS ord, CASE ord WHEN 0 THEN 'fig ' || p_partkey ELSE '' END AS alt_text, CASE ord WHEN 0 THEN 'img/' || p_brand || '.png' WHEN 1 THEN p_type ELSE 'pic/' || p_size || '.jpg' END AS path,
         CASE ord WHEN 2 THEN 'html' ELSE 'markdown' END AS type FROM part, range(3) r(ord)""",
+    "md_merge_documents": f"""WITH {_clean_sql(f'SELECT doc_id AS doc, {_MD} AS md FROM documents')},
+        pg AS (SELECT d.source, d.doc_id, {_MD.replace('text', 'd.text')} AS md, coalesce(clean, '') AS clean FROM documents d LEFT JOIN cleaned ON doc = d.doc_id),
+        jn AS (SELECT source, count(*) AS n_pages, string_agg(md, chr(10) || chr(10) ORDER BY doc_id) AS complete, string_agg(clean, chr(10) || chr(10) ORDER BY doc_id) FILTER (regexp_matches(clean, '[^\\s\\x{{1c}}-\\x{{1f}}\\x{{85}}\\p{{Z}}]')) AS clean FROM pg GROUP BY source),
+        {_clean_sql("SELECT source AS doc, clean AS md FROM jn").replace('src AS', 'src2 AS').replace('FROM src)', 'FROM src2)').replace('l0', 'm0').replace('l1', 'm1').replace('l2', 'm2').replace('l3', 'm3').replace('l4', 'm4').replace('l5', 'm5').replace('l6', 'm6').replace('l7', 'm7').replace('l8', 'm8').replace('cleaned AS', 'recleaned AS')}
+        SELECT jn.source, n_pages, length(complete) AS n_complete, length(r.clean) AS n_clean, md5(r.clean) AS clean_md5 FROM jn JOIN recleaned r ON r.doc = jn.source""",
 }
