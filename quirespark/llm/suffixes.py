@@ -41,9 +41,9 @@ from quirespark.llm.common import settled
 
 U = np.uint64
 #: Bytes of text that a map task sorts at once, and that are hashed at once.
-CHUNK, SLICE = 8 << 20, 2 << 20
+CHUNK, SLICE = 4 << 20, 1 << 20
 #: log2 of the bits of the bitmap of repeated anchors; suffixes of a range; suffixes of an anchor that is hot at least.
-FILTER_BITS, RANGE_ROWS, HOT_LEAST, HOT_SHARE = 28, 150_000, 2000, 500
+FILTER_BITS, RANGE_ROWS, HOT_LEAST, HOT_SHARE = 28, 100_000, 2000, 500
 NO_ID = (1 << 63) - 1
 MIX = tuple(U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
