@@ -8,7 +8,8 @@ strings with one anchor form a run, and only the suffix at a run's start is sort
 ends. Equal strings have equal anchors, so only suffixes that share an anchor are compared:
 
 1. Anchors are counted; those that occur once can't be in a repeated string. A bitmap of fixed size tells of the
-   others (its false positives only cost work).
+   others (its false positives only cost work). Where there are more than it can tell apart, they are joined with
+   the anchors of the documents instead, and each document gets the list of its own.
 2. Each chunk of documents sorts its suffixes by (anchor, bytes). Of equal ones the earliest stays, the
    others are known to be repeats. The sorted run is front-coded (length of the prefix shared with the predecessor, and
    the rest) and cut at fixed points of the anchor range, which deal it out evenly.
@@ -92,21 +93,24 @@ def runs(data: bytes, starts: np.ndarray, ends: np.ndarray, width: int, gram: in
     return first, last, key * MIX[1]
 
 
-def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[bytes]]]:
-    """Documents by the chunk: ids and texts."""
+def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[bytes], list[np.ndarray | None]]]:
+    """Documents by the chunk: ids, texts, and the starts of their repeated runs if there is a third column."""
     ids: list[int] = []
     texts: list[bytes] = []
+    starts: list[np.ndarray | None] = []
     size = 0
     for batch in batches:
-        for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        given = batch.column(2) if batch.num_columns > 2 else [None] * batch.num_rows
+        for i, t, at in zip(batch.column(0).to_pylist(), batch.column(1), given, strict=True):
             ids.append(i)
             texts.append(t.as_py().encode())
+            starts.append(None if at is None else np.array(at.as_py(), np.int64))
             size += len(texts[-1])
             if size >= CHUNK:
-                yield np.array(ids, np.int64), texts
-                ids, texts, size = [], [], 0
+                yield np.array(ids, np.int64), texts, starts
+                ids, texts, starts, size = [], [], [], 0
     if ids:
-        yield np.array(ids, np.int64), texts
+        yield np.array(ids, np.int64), texts, starts
 
 
 def chunk_runs(texts: list[bytes], width: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -143,7 +147,7 @@ def _count(width: int, gram: int):
     schema = pa.schema([("kh", pa.int64()), ("n", pa.int64()), ("kinds", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts in chunks(batches):
+        for _, texts, _ in chunks(batches):
             doc, lo, hi, key = chunk_runs(texts, width, gram)
             distinct, inverse, n = np.unique(key, return_inverse=True, return_counts=True)
             kinds = np.ones(len(distinct), np.int64)
@@ -158,6 +162,18 @@ def _count(width: int, gram: int):
     return run
 
 
+def _positions(width: int, gram: int):
+    """(kh, doc_id, lo) of every run."""
+    schema = pa.schema([("kh", pa.int64()), ("doc_id", pa.int64()), ("lo", pa.int64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, texts, _ in chunks(batches):
+            doc, lo, _, key = chunk_runs(texts, width, gram)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(ids[doc]), pa.array(lo)], schema=schema)
+
+    return run
+
+
 def shared_prefix(a: bytes, b: bytes, at: int) -> int:
     """Length of the common prefix of a and b, known to be `at` at least."""
     n = min(len(a), len(b))
@@ -301,12 +317,16 @@ def _sorted_runs(width: int, gram: int, ranges: int, bitmap, hot: np.ndarray):
     bounds = np.array([k * (1 << 64) // ranges for k in range(1, ranges)], U)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, squeeze = np.frombuffer(bitmap.value, np.uint8), zstandard.ZstdCompressor(level=1).compress
-        shift = U(64 - (len(bits) * 8).bit_length() + 1)
-        for ids, texts in chunks(batches):
+        squeeze = zstandard.ZstdCompressor(level=1).compress
+        for ids, texts, starts in chunks(batches):
             doc, lo, hi, key = chunk_runs(texts, width, gram)
-            place = key >> shift
-            take = (bits[(place >> U(3)).astype(np.int64)] >> (place & U(7)).astype(np.uint8) & 1).astype(bool)
+            if bitmap is None:
+                base = np.cumsum([0, *(len(t) for t in texts)])
+                take = np.isin(base[doc] + lo, np.concatenate([b + s for b, s in zip(base, starts, strict=False)]))
+            else:
+                bits = np.frombuffer(bitmap.value, np.uint8)
+                place = key >> U(64 - (len(bits) * 8).bit_length() + 1)
+                take = (bits[(place >> U(3)).astype(np.int64)] >> (place & U(7)).astype(np.uint8) & 1).astype(bool)
             doc, lo, hi, key = doc[take], lo[take], hi[take], key[take]
             is_hot = np.isin(key, hot)
             if is_hot.any():  # each string of a hot anchor goes by a hash of its own
@@ -419,19 +439,26 @@ def spans(docs: DataFrame, width: int = 100, gram: int = 32, filter_bits: int =
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     counts = rows.mapInArrow(_count(width, gram), "kh long, n long, kinds long").groupBy("kh").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")).filter("n > 1")
     counts = settled(counts)
-    total = counts.agg(F.sum("n")).first()[0] or 0
+    total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     # At most HOT_SHARE anchors are hot, and the bitmap is of fixed size: what the driver gathers is bounded.
     most = max(hot_least, total // HOT_SHARE)
     hot = np.array([r.kh for r in counts.filter(F.col("kinds") > most).select("kh").collect()], np.int64).view(U)
-    place = F.shiftrightunsigned("kh", 64 - filter_bits) + 1
-    bitmap = np.zeros(1 << (filter_bits - 3), np.uint8)
-    for page in counts.groupBy(F.bitmap_bucket_number(place).alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect():
-        at = (page.page - 1) * 4096
-        bitmap[at : at + 4096] |= np.frombuffer(page.bits, np.uint8)[: len(bitmap) - at]
     ranges = max(1, -(-total // RANGE_ROWS))
-    sorted_runs, schema = _sorted_runs(width, gram, ranges, spark.sparkContext.broadcast(bitmap.tobytes()), hot)
+    if 8 * kinds <= 1 << filter_bits:  # one bit in eight is set at most
+        place = F.shiftrightunsigned("kh", 64 - filter_bits) + 1
+        bitmap = np.zeros(1 << (filter_bits - 3), np.uint8)
+        for page in counts.groupBy(F.bitmap_bucket_number(place).alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect():
+            at = (page.page - 1) * 4096
+            bitmap[at : at + 4096] |= np.frombuffer(page.bits, np.uint8)[: len(bitmap) - at]
+        sorted_runs, schema = _sorted_runs(width, gram, ranges, spark.sparkContext.broadcast(bitmap.tobytes()), hot)
+        marked = rows
+    else:
+        found = rows.mapInArrow(_positions(width, gram), "kh long, doc_id long, lo long").join(counts.select("kh"), "kh")
+        by_doc = found.groupBy("doc_id").agg(F.collect_list("lo").alias("starts"))
+        sorted_runs, schema = _sorted_runs(width, gram, ranges, None, hot)
+        marked = rows.join(by_doc, "doc_id").select("doc_id", "text", "starts")
     merged, found = _merged(width)
-    intervals = rows.mapInArrow(sorted_runs, schema).groupBy("r").applyInArrow(merged, found)
+    intervals = marked.mapInArrow(sorted_runs, schema).groupBy("r").applyInArrow(merged, found)
     return intervals.groupBy("doc").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
 

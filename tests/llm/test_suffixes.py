@@ -50,7 +50,7 @@ def passages(seed, n=120):
 
 
 @pytest.mark.parametrize("seed", range(4))
-@pytest.mark.parametrize("how", [{}, {"hot_least": 3, "filter_bits": 15}])
+@pytest.mark.parametrize("how", [{}, {"hot_least": 3, "filter_bits": 16}, {"filter_bits": 12}])
 def test_planted_passages(spark, seed, how, monkeypatch):
     docs = documents(spark, passages(seed)).repartition(5)
     rows = verify(docs, **how)
