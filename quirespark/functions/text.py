@@ -13,11 +13,11 @@ NUMERALS = {"一": 1, "二": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7
 
 def strip(text: Column) -> Column:
     """Without Unicode white space at both ends; trim() only knows U+0020."""
-    return F.regexp_replace(F.regexp_replace(text, f"^{SPACE}+", ""), f"{SPACE}+\\z", "")
+    return F.regexp_replace(text, rf"^{SPACE}+|(?<!{SPACE}){SPACE}+\z", "")
 
 
 def rstrip(text: Column) -> Column:
-    return F.regexp_replace(text, f"{SPACE}+\\z", "")
+    return F.regexp_replace(text, rf"(?<!{SPACE}){SPACE}+\z", "")
 
 
 def is_blank(text: Column) -> Column:

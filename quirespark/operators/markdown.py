@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from quirespark.functions.text import is_blank, rstrip, starts_lower, strip
 
-#: How lines begin that are never joined to the line before, and that take no line after them.
-KEEPS_APART, TAKES_NONE = r"^(?:[#|\-*!$>\[]|```)", r"^(?:[#|\-*!$>]|```)"
+#: How lines begin that take no line after them.
+TAKES_NONE = r"^(?:[#|\-*!$>]|```)"
 NO_TABLE, NO_LIST = "<!-- empty table -->", "<!-- empty list -->"
 
 
@@ -76,37 +76,39 @@ def clean(md: Column) -> Column:
     """Markdown without comments, rules and runs of blank lines, and with paragraphs that pages cut in two joined again.
 
     A line joins the one before if it begins in lower case and that one is plain text that ends no sentence. Whether it does only
-    depends on the two lines, so the document is one array expression: no rows, no shuffle.
+    depends on the two lines, so the document is one array expression: no rows, no shuffle. Each step binds its array as the
+    element of an array of one, so that it is made once, and each line is looked at once.
     """
+    lines = F.transform(F.split(md, "\n", -1), lambda x: F.struct(x.alias("line"), strip(x).alias("s")))
+    kept = F.filter(lines, lambda x: ~((x["s"].startswith("<!--") & x["s"].endswith("-->")) | (x["s"] == "---")))
+    return F.get(F.transform(F.array(kept), _squeezed), F.lit(0))
+
+
+def _squeezed(lines: Column) -> Column:
+    """Of a run of blank lines the first, unless it comes first of all."""
+    kept = F.filter(lines, lambda x, k: (x["s"] != "") | ((k > 0) & (F.get(lines, k - 1)["s"] != "")))
+    # opens: the line may join the one before (what keeps lines apart never is a lower-case letter); takes: the next one may join it
+    looked_at = F.transform(
+        kept,
+        lambda x: F.struct(
+            F.when(x["s"] == "", F.lit("")).otherwise(x["line"]).alias("line"),
+            x["s"].alias("s"),
+            starts_lower(x["s"]).alias("opens"),
+            ((x["s"] != "") & ~x["s"].rlike(TAKES_NONE) & ~x["s"].rlike(r"[.?!]\z")).alias("takes"),
+        ),
+    )
+    return F.get(F.transform(F.array(looked_at), _paragraphs), F.lit(0))
 
-    def comment(line: Column) -> Column:
-        s = strip(line)
-        return (s.startswith("<!--") & s.endswith("-->")) | (s == "---")
-
-    # strip() turns blank lines into empty ones, and what is left of a run of them is its first
-    lines = F.transform(F.filter(F.split(md, "\n", -1), lambda x: ~comment(x)), lambda x: F.when(is_blank(x), F.lit("")).otherwise(x))
-    return F.get(F.transform(F.array(lines), _joined), F.lit(0))
-
-
-def _joined(lines: Column) -> Column:
-    kept = F.filter(lines, lambda x, k: (x != "") | ((k > 0) & (F.get(lines, k - 1) != "")))
-    return F.get(F.transform(F.array(kept), _paragraphs), F.lit(0))
-
-
-def _paragraphs(kept: Column) -> Column:
-    def joins(line: Column, before: Column) -> Column:
-        s, b = strip(line), strip(before)
-        plain = ~s.rlike(KEEPS_APART) & ~s.rlike(r"^\p{Nd}+$") & starts_lower(s)
-        return F.coalesce(plain & (b != "") & ~b.rlike(TAKES_NONE) & ~b.rlike(r"[.?!]\z"), F.lit(False))
 
-    def one(line: Column, k: Column) -> Column:
-        here = joins(line, F.when(k > 0, F.get(kept, k - 1)).otherwise(F.lit("")))
-        after = joins(F.coalesce(F.get(kept, k + 1), F.lit("")), line)
-        text = F.when(here, strip(line)).otherwise(line)
-        return F.concat(F.when(k == 0, "").when(here, " ").otherwise("\n"), F.when(after, rstrip(text)).otherwise(text))
+def _paragraphs(lines: Column) -> Column:
+    def one(x: Column, k: Column) -> Column:
+        here = x["opens"] & (k > 0) & F.coalesce(F.get(lines, k - 1)["takes"], F.lit(False))
+        after = x["takes"] & F.coalesce(F.get(lines, k + 1)["opens"], F.lit(False))
+        text = F.when(here, x["s"]).when(after, rstrip(x["line"])).otherwise(x["line"])
+        return F.concat(F.when(k == 0, "").when(here, " ").otherwise("\n"), text)
 
     # a last blank line goes
-    return F.regexp_replace(F.array_join(F.transform(kept, one), ""), r"\n+\z", "")
+    return F.regexp_replace(F.array_join(F.transform(lines, one), ""), r"\n+\z", "")
 
 
 def merged(pages: DataFrame, by: tuple[str, ...] = (), order: str = "page_id") -> DataFrame:
