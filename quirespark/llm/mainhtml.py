@@ -178,3 +178,13 @@ def extract(pages: DataFrame, rows: int = 512) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema=schema)
 
     return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+
+
+#: For pages whose article is what their article element holds, and holds no more than headings, paragraphs and inline tags.
+ORACLE = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)(</article>|$)', 1, 's') AS x FROM pages),
+b AS (SELECT page_id, url, regexp_replace(regexp_replace(x, '</?(p|h1|br)[^>]*>', ' ', 'g'), '<[^>]*>', '', 'g') AS x FROM a),
+c AS (SELECT page_id, url, replace(replace(replace(replace(x, '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS x FROM b),
+d AS (SELECT page_id, url, trim(regexp_replace(x, '[\s\p{Z}\x{85}\x{1c}-\x{1f}]+', ' ', 'g')) AS text FROM c)
+SELECT page_id, url, text, length(text) AS n_chars FROM d
+"""

@@ -61,4 +61,4 @@ QUERIES = {
     "op9_lattice_lm": op9_lattice_lm,
     "op10_quality_ftrl": op10_quality_ftrl,
 }
-ORACLES: dict[str, str] = {"op3_snapshot_chat": chat.ORACLE}
+ORACLES: dict[str, str] = {"op1_max_subsequence_html": mainhtml.ORACLE, "op3_snapshot_chat": chat.ORACLE}
