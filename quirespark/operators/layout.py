@@ -103,3 +103,13 @@ def slice_summary(cut: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
+def slice_info(cut: DataFrame, layouts: DataFrame, dpi: float = 300.0, page: Sequence[str] = PAGE) -> DataFrame:
+    """The slice document of each page: layout, sizes, scale factors, its slices and what was discarded, with the reason."""
+    b = F.array("x1", "y1", "x2", "y2")
+    one = F.struct("region_ord", "slice_index", "region_type", b.alias("pdf_bbox"), F.array("px1", "py1", "px2", "py2").alias("image_bbox"), "filename", (F.col("px2") - F.col("px1")).alias("width"), (F.col("py2") - F.col("py1")).alias("height"))
+    size = F.format_string("PDF box too small (%.1fx%.1fpx)", F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+    gone = F.struct("region_ord", "region_type", b.alias("pdf_bbox"), (F.col("x2") - F.col("x1")).alias("pdf_width"), (F.col("y2") - F.col("y1")).alias("pdf_height"), size.alias("reason"))
+    by_page = cut.groupBy(*page).agg(F.array_sort(F.collect_list(F.when(~F.col("discarded"), one))).alias("slices"), F.array_sort(F.collect_list(F.when(F.col("discarded"), gone))).alias("discarded_slices"))
+    wide, high = (F.col("width") * dpi / 72.0).cast("int"), (F.col("height") * dpi / 72.0).cast("int")
+    whole = layouts.join(by_page, list(page), "left")
+    return whole.select(*page, "layout_type", F.array("width", "height").alias("page_size"), F.array(wide, high).alias("image_size"), F.array(wide / F.col("width"), high / F.col("height")).alias("scale"), F.coalesce("slices", F.array()).alias("slices"), F.coalesce("discarded_slices", F.array()).alias("discarded_slices"))

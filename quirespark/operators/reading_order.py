@@ -40,9 +40,20 @@ def reading_order(blocks: DataFrame, threshold: float = 50.0, row: float = 20.0,
     return rows.withColumn("read_ord", F.row_number().over(order)).drop("centers")
 
 
-def reorder_gate(blocks: DataFrame, threshold: float = 50.0, page: Sequence[str] = PAGE) -> DataFrame:
-    """(page, status): reordered, or why a page is left as it is."""
+def reorder_gate(blocks: DataFrame, threshold: float = 50.0, page: Sequence[str] = PAGE, gate: str = "page") -> DataFrame:
+    """(page, n_blocks, status): reordered, or why a page is left as it is.
+
+    gate: "page" looks at each page, "first_page" at the least page only and lets it decide for all (for compatibility).
+    """
     n = blocks.groupBy(*page).agg(F.count("*").alias("n_blocks"))
     found = columns(blocks, threshold, page=page).select(*page, "is_multi_column")
-    status = F.when(F.coalesce("is_multi_column", F.lit(False)), "reordered").otherwise("single column")
-    return n.join(found, list(page), "left").select(*page, "n_blocks", status.alias("status"))
+    rows = n.join(found, list(page), "left").withColumn("multi", F.coalesce("is_multi_column", F.lit(False)))
+    if gate == "first_page":
+        first = rows.groupBy().agg(F.min_by("multi", F.struct(*page)).alias("first_multi"))
+        rows = rows.join(F.broadcast(first)).withColumn("multi", F.col("first_multi"))  # one row
+    return rows.select(*page, "n_blocks", F.when(F.col("multi"), "reordered").otherwise("single column").alias("status"))
+
+
+def gate_counts(gated: DataFrame) -> DataFrame:
+    """(status, n_pages)"""
+    return gated.groupBy("status").agg(F.count("*").alias("n_pages"))

@@ -71,6 +71,16 @@ def parse_slices(client: Callable[[], inference.ModelClient], model: str, prompt
     return stage
 
 
+def insert_images(prefix: str) -> Callable[[dict[str, DataFrame]], dict[str, DataFrame]]:
+    """html_pages, image_paths (path) -> html_pages with the sources of the images extracted for their page."""
+
+    def stage(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
+        index = htmltree.image_index(t["image_paths"], prefix).withColumnRenamed("page", "page_id")
+        return {"html_pages": htmltree.insert_sources(t["html_pages"], index, page="page_id")}
+
+    return stage
+
+
 def answer(questions: DataFrame, client: Callable[[], inference.ModelClient], models: dict[str, str], policy: inference.RetryPolicy = inference.RetryPolicy()) -> DataFrame:
     """(question_id, needs_vision, answer, error) of questions (question_id, question, content, history, images).
 

@@ -13,18 +13,23 @@ from pyspark.sql import functions as F
 #: The colors of annotations by type, and factors of their line width.
 COLORS = {"text": "blue", "image": "green", "table": "red", "original_line": "orange", "original_qwen_table": "purple", "vector_graphic": "magenta"}
 PREVIEW = 200
+COMPONENTS = {"component_types": "map<string,int>", "component_count": "int", "component_details": "array<struct<type: string, bbox: array<double>, index: int>>"}
 
 
 def metadata(elements: DataFrame, documents: DataFrame, by: str = "doc_id") -> DataFrame:
     """(source_file, output_file, creation_time, total_pages, summary, pages) of documents (by, source_file, output_file, creation_time, total_pages).
 
-    elements: by, page_number, type, idx, x1, y1, x2, y2, content, label, confidence, refined.
+    elements: by, page_number, type, idx, x1, y1, x2, y2, content, label, confidence, refined, and for vector graphics
+    component_types, component_count, component_details if there are any.
     """
+    of_vector = [F.col(c) if c in elements.columns else F.lit(None).cast(t).alias(c) for c, t in COMPONENTS.items()]
     content = F.when(F.col("type") == "text", F.substring("content", 1, PREVIEW))
     table = lambda c, default: F.when(F.col("type").isin("table", "original_qwen_table"), F.coalesce(c, F.lit(default)))
-    one = F.struct("type", F.array("x1", "y1", "x2", "y2").alias("bbox"), F.col("idx").alias("index"), content.alias("content"), table("label", "表格").alias("label"), table("confidence", 1.0).alias("confidence"), table("refined", False).alias("refined"))
-    order = F.struct("idx", "type", one.alias("e"))
-    pages = elements.groupBy(by, "page_number").agg(F.transform(F.array_sort(F.collect_list(order)), lambda r: r["e"]).alias("elements"), *(F.count_if(F.col("type") == t).alias(f"n_{t}") for t in COLORS), F.count_if((F.col("type") == "table") & F.coalesce("refined", F.lit(False))).alias("n_refined"))
+    one = F.struct("type", F.array("x1", "y1", "x2", "y2").alias("bbox"), F.col("idx").alias("index"), content.alias("content"), table("label", "表格").alias("label"), table("confidence", 1.0).alias("confidence"), table("refined", False).alias("refined"), *of_vector)
+    rows = elements.withColumn("__e", one)
+    # elements hold maps, which have no order of their own
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("idx", "type", "__e")), lambda a, b: F.when(a["idx"] < b["idx"], -1).when(a["idx"] > b["idx"], 1).when(a["type"] < b["type"], -1).when(a["type"] > b["type"], 1).otherwise(0)), lambda r: r["__e"])
+    pages = rows.groupBy(by, "page_number").agg(ordered.alias("elements"), *(F.count_if(F.col("type") == t).alias(f"n_{t}") for t in COLORS), F.count_if((F.col("type") == "table") & F.coalesce("refined", F.lit(False))).alias("n_refined"))
     total = lambda c, name: F.sum(c).cast("int").alias(name)
     whole = pages.groupBy(by).agg(
         F.map_from_entries(F.collect_list(F.struct(F.col("page_number").cast("string"), F.struct("page_number", "elements")))).alias("pages"),

@@ -262,3 +262,21 @@ def snapped(spark, table, lines):
 )
 def test_snapping(spark, table, lines, box, refined):
     assert snapped(spark, table, lines) == (tuple(map(float, box)), refined)
+
+
+def test_gate_by_the_first_page(spark):
+    df = frame(spark, [(1, "text", (x, 20, x + 5, 30)) for x in (50, 300)] + [(2, "text", (50, 20, 55, 30))])
+    status = lambda gate: {r.page: r.status for r in reading_order.reorder_gate(df, gate=gate).collect()}
+    assert status("page") == {1: "reordered", 2: "single column"} and status("first_page") == {1: "reordered", 2: "reordered"}
+    assert {r.status: r.n_pages for r in reading_order.gate_counts(reading_order.reorder_gate(df)).collect()} == {"reordered": 1, "single column": 1}
+
+
+def test_pages_split_over_batches():
+    import pyarrow as pa
+
+    rows = [{"page": p, "is_text": True, "idx": i, "x1": 30.0 * i, "y1": 0.0, "x2": 30.0 * i + 28, "y2": 9.0, "content": "w"} for p in range(5) for i in range(7)]
+    run = kernels.page_by_page("page", kernels.merge_texts_of_page("page", 5.0), ["page", "ord", *kernels.BOX, "content", "n_merged"])
+    whole = [r for b in run([pa.RecordBatch.from_pylist(rows)]) for r in b.to_pylist()]
+    parts = [r for b in run([pa.RecordBatch.from_pylist(rows[k : k + 3]) for k in range(0, len(rows), 3)]) for r in b.to_pylist()]
+    assert whole == parts and [r["n_merged"] for r in whole] == [7] * 5
+    assert list(run([])) == []
