@@ -348,3 +348,22 @@ def test_slices_to_pages_leaves_gaps(spark):
     stage = workflow.parse_slices(Client, "m", "to html", inference.RetryPolicy(0, 0.0), parallelism=2, clean=True)
     got = {r.page_id: r.html for r in stage({"slice_images": rows})["html_pages"].collect()}
     assert sorted(got) == [1, 3] and "<p>a</p>" in got[1]
+
+
+def test_rasters_slices_and_conversion(spark):
+    from quirespark.sources import images
+
+    def render(content, zoom):
+        if content == b"bad":
+            raise ValueError("broken")
+        return [(content + str(k).encode(), int(612 * zoom), int(792 * zoom)) for k in (1, 2)]
+
+    rows = images.rasters(spark.createDataFrame([("a", b"x"), ("b", b"bad")], "path string, content binary"), 300.0, render).collect()
+    assert [(r.path, r.page_number, r.width, r.height) for r in rows if r.path == "a"] == [("a", 1, 2550, 3300), ("a", 2, 2550, 3300)]
+    assert [r.error for r in rows if r.path == "b"] == ["ValueError: broken"]
+    cut = spark.createDataFrame([(1, False, 0, 1, 2, 3), (1, True, 0, 0, 1, 1)], "page int, discarded boolean, px1 int, py1 int, px2 int, py2 int")
+    pages = spark.createDataFrame([(1, b"page")], "page int, content binary")
+    got = images.cut_slices(cut, pages, crop=lambda content, box: content + bytes(box)).collect()
+    assert [bytes(r.image) for r in got] == [b"page\x00\x01\x02\x03"] and got[0].image_error is None
+    bad = images.as_jpeg(pages, convert=lambda content: 1 / 0).first()
+    assert bad.jpeg is None and bad.jpeg_error.startswith("ZeroDivisionError")
