@@ -37,8 +37,10 @@ HINTS = frozenset("ad ads adv advert adverts advertisement advertising sponsor s
 FOREIGN = frozenset("comment comments commentlist disqus respond reply replies discussion related recommended recommendations teaser teasers".split())
 #: Fixed counts, as if seen in labelled pages: (inside, outside) of words by element and of tags.
 SEEN = {"w:p": (400, 40), "w:h1": (30, 10), "w:h2": (30, 10), "w:h3": (20, 10), "w:blockquote": (30, 5), "w:pre": (30, 5), "w:li": (40, 15), "w:td": (30, 15), "w:div": (60, 60), "w:section": (40, 40), "w:article": (60, 10), "w:a": (5, 40), "w:hint": (1, 80), "t:p": (60, 20), "t:br": (20, 10), "t:div": (10, 40), "t:h1": (20, 10), "t:h2": (20, 10), "t:h3": (20, 10), "t:ul": (20, 10), "t:ol": (20, 10), "t:li": (20, 10), "t:blockquote": (20, 10), "t:pre": (20, 10), "t:table": (20, 15), "t:tr": (20, 15), "t:td": (20, 15), "t:b": (20, 10), "t:i": (20, 10), "t:em": (20, 10), "t:strong": (20, 10), "t:span": (20, 20), "t:a": (10, 20), "t:hint": (1, 40), "t:article": (1, 20), "t:main": (1, 20), "t:body": (1, 20)}
+#: Parts of names that tell of a page's layout, not of the element ("has-sidebar").
+ABOUT = frozenset("no not has with without".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?=[/!?a-zA-Z])[^<>]*\Z|[^<]+|<", re.S | re.I)
-ATTRIBUTE = re.compile(r"\b(class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
@@ -55,7 +57,13 @@ class Part(NamedTuple):
 def _hints(attributes: str) -> set[str]:
     if "=" not in attributes:
         return set()
-    return {p.lower() for m in ATTRIBUTE.finditer(attributes) if m[1].lower() != "itemprop" for p in PARTS.findall(m[2] or m[3] or m[4] or "")}
+    out: set[str] = set()
+    for m in ATTRIBUTE.finditer(attributes):
+        for name in (m[2] or m[3] or m[4] or "").split():
+            named = {p.lower() for p in PARTS.findall(name)}
+            if not named & ABOUT:
+                out |= named
+    return out
 
 
 def parts(html: str) -> list[Part]:

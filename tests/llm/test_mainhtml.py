@@ -15,6 +15,7 @@ AROUND = [
     ("<body><div class='cookie-notice'><p>We use cookies. " + "Accept them. " * 30 + "</p></div><div id=content>", "</div><div class=sidebar><h3>Popular</h3><p>Some other text " * 5 + "</p></div>"),
     ("<body><article><div class='ad'>Buy now this thing</div>", "<form action=x><label>Name</label><input name=a><button>Send it</button></form><section class='comments'><article class='comment'><p>Reader says a lot " + "bla " * 50 + "</p></article></section></article>"),
     ("<body><script>var t='</p><article>';</script><!-- <p>hidden</p> --><article>", "</article><footer>&copy; cut o"),
+    ("<body class='has-sidebar'><div class='post with-sidebar no-ads'>", "</div><div id='siteFooter'><p>Words of the footer, some more of them</p></div>"),
     ("<body><div role=navigation><a>a b c</a></div><article>", "<div class='share-buttons'><a>Tweet this</a></div><div class='related'><h2>Related</h2><p>" + "word " * 60 + "</p></div></article>"),
 ]
 
