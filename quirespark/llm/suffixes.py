@@ -41,8 +41,9 @@ from pyspark.sql import functions as F
 from quirespark.llm.common import settled
 
 U = np.uint64
-#: Bytes of text that a map task sorts at once, and that are hashed at once.
-CHUNK, SLICE = 4 << 20, 1 << 20
+#: Bytes of text that a map task sorts at once, and that are hashed at once. With many ranges a chunk grows, so that its
+#: run has some suffixes for each of them, up to a limit.
+CHUNK, SLICE, CHUNK_BY_RANGE, CHUNK_MOST = 4 << 20, 1 << 20, 4 << 10, 64 << 20
 #: log2 of the bits of the bitmap of repeated anchors; suffixes of a range; suffixes of an anchor that is hot at least.
 FILTER_BITS, RANGE_ROWS, HOT_LEAST, HOT_SHARE = 28, 100_000, 2000, 500
 NO_ID = (1 << 63) - 1
@@ -93,8 +94,9 @@ def runs(data: bytes, starts: np.ndarray, ends: np.ndarray, width: int, gram: in
     return first, last, key * MIX[1]
 
 
-def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[bytes], list[np.ndarray | None]]]:
+def chunks(batches: Iterator[pa.RecordBatch], most: int | None = None) -> Iterator[tuple[np.ndarray, list[bytes], list[np.ndarray | None]]]:
     """Documents by the chunk: ids, texts, and the starts of their repeated runs if there is a third column."""
+    most = most or CHUNK
     ids: list[int] = []
     texts: list[bytes] = []
     starts: list[np.ndarray | None] = []
@@ -106,7 +108,7 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list
             texts.append(t.as_py().encode())
             starts.append(None if at is None else np.array(at.as_py(), np.int64))
             size += len(texts[-1])
-            if size >= CHUNK:
+            if size >= most:
                 yield np.array(ids, np.int64), texts, starts
                 ids, texts, starts, size = [], [], [], 0
     if ids:
@@ -318,7 +320,7 @@ def _sorted_runs(width: int, gram: int, ranges: int, bitmap, hot: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1).compress
-        for ids, texts, starts in chunks(batches):
+        for ids, texts, starts in chunks(batches, min(CHUNK_MOST, max(CHUNK, CHUNK_BY_RANGE * ranges))):
             doc, lo, hi, key = chunk_runs(texts, width, gram)
             if bitmap is None:
                 base = np.cumsum([0, *(len(t) for t in texts)])
