@@ -31,6 +31,8 @@ U = np.uint64
 LANES = U(0x0101010101010101)
 #: Hashes that are counted at once, fingerprints of a (block, value) that aren't dealt again, children of a node.
 COUNTED, BUCKET, FANOUT, FRONTIER = 1 << 18, 4096, 8, 1 << 18
+#: A fingerprint of more than one in so many rows is hot.
+HOT_SHARE = 1000
 #: (first bit, number of bits) of the blocks: of the word, of what the first leaves, of what the second leaves.
 CUTS = ((0, 21), (21, 21), (42, 22))
 
@@ -260,8 +262,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = tops.join(distinct, tops["node"] == distinct["fp"]).select("fp", "label", "least")
     least = named.groupBy("label").agg(F.min("least").alias("component"))
     named = named.join(least, "label").select("fp", "component")
-    classes = distinct.join(named, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"), "n_copies")
-    return found.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_copies")
+    classes = settled(distinct.join(named, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"), "n_copies"))
+    # fingerprints of over a thousandth of all rows, which are less than a thousand, meet their rows without a shuffle
+    hot = F.broadcast(classes.filter(F.col("n_copies") * HOT_SHARE > found.count()))
+    rest = found.join(hot.select("fp"), "fp", "left_anti").join(classes, "fp")
+    return found.join(hot, "fp").unionByName(rest).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_copies")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

@@ -54,6 +54,12 @@ def test_small_table(spark, small):
     verify(spark.read.parquet(f"{small}/documents.parquet"))
 
 
+@pytest.mark.parametrize("share", [1, 3, 10**9])
+def test_hot_fingerprints(spark, share, monkeypatch):
+    monkeypatch.setattr(simhash, "HOT_SHARE", share)
+    verify(documents(spark, ["same text of some words"] * 40 + ["same text of some word"] * 30 + [f"other {i} text {i * 7} here" for i in range(30)]))
+
+
 def test_awkward(spark):
     verify(awkward(spark))
 
