@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 from quirespark.llm.common import Scratch, settled
 
 #: Distinct words that a task counts before it sends them on; the word that stands for a text's end (no word has a line break).
-HELD, END = 400_000, "\n"
+HELD, END = 200_000, "\n"
+#: Rare words of an output batch, about.
+SENT = 50_000
 SPACE = "▁"
 
 
@@ -164,8 +166,13 @@ def _score_rows(frequent):
         place = {w: k for k, w in enumerate(words)}
         get = place.get
         row = TaskContext.get().partitionId() << 34
+        out: list[tuple] = []
+        size = 0
+
+        def made() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), ROWS, strict=True)], schema=ROWS)
+
         for batch in batches:
-            out = []
             for doc_id, text, held in zip(*batch.columns, strict=True):
                 found = tokens(text.as_py())
                 at = list(map(get, found))
@@ -177,8 +184,12 @@ def _score_rows(frequent):
                 k = np.array(at)
                 out.append((row, doc_id.as_py(), held.as_py(), len(found) + 1, int(known[k].sum()), float(base[k].sum()), float(lattice[k].sum()), [{"word": w.decode(), "times": n} for w, n in rare.items()]))
                 row += 1
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), ROWS, strict=True)], schema=ROWS)
+                size += 10 + len(rare)
+                if size >= SENT:
+                    yield made()
+                    out, size = [], 0
+        if out:
+            yield made()
 
     return run
 
