@@ -19,51 +19,52 @@ from pyspark.sql import functions as F
 
 from quirespark.llm.common import settled
 
+#: A conversation's key: plain columns without nulls, so that joins, windows and groups share one partitioning.
+KEY = ["absent", "cid"]
 #: How a turn is rendered: before the role, after it, after the text.
 OPEN, MIDDLE, CLOSE = "<|", "|>\n", "\n<|end|>\n"
 
 
 def _turns(conversations: DataFrame) -> DataFrame:
-    turns = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", "text")
+    conv_id = F.col("conv_id").cast("long")
+    turns = conversations.select(conv_id.isNull().alias("absent"), F.coalesce(conv_id, F.lit(0)).alias("cid"), F.col("turn").cast("long").alias("turn"), "role", "text")
     content = [F.isnull("role"), "role", F.isnull("text"), "text"]
     return turns.withColumns({"content": F.xxhash64(F.lit(1), *content), "content2": F.xxhash64(F.lit(2), *content)})
 
 
 def _numbered(turns: DataFrame) -> DataFrame:
     """turns without repeats, with their position k from 1 on."""
-    order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), "content", "content2")
+    order = Window.partitionBy(*KEY).orderBy(F.col("turn").asc_nulls_first(), F.col("role").asc_nulls_first(), "content", "content2")
     same = F.lag(F.lit(True)).over(order) & (F.lag("turn").over(order).eqNullSafe(F.col("turn"))) & (F.lag("content").over(order) == F.col("content")) & (F.lag("content2").over(order) == F.col("content2"))
     return turns.withColumn("again", F.coalesce(same, F.lit(False))).filter(~F.col("again")).drop("again").withColumn("k", F.row_number().over(order).cast("long"))
 
 
 def maximal(conversations: DataFrame) -> DataFrame:
-    """(conv_id, n_turns, n_copies) of the conversations that stay."""
+    """(absent, cid, n_turns, n_copies) of the conversations that stay: the key, which is (true, 0) for the null conv_id."""
     numbered = _numbered(_turns(conversations).drop("text"))
-    so_far = Window.partitionBy("conv_id").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("conv_id")
+    so_far = Window.partitionBy(*KEY).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(*KEY)
     prefixes = numbered.select(
-        "conv_id",
+        *KEY,
         "k",
         F.count("*").over(whole).alias("n"),
         F.bit_xor(F.xxhash64("k", "content", "content2")).over(so_far).alias("h1"),
         F.bit_xor(F.xxhash64("content2", "k", "content")).over(so_far).alias("h2"),
     )
     prefixes = settled(prefixes)
-    classes = prefixes.filter("k = n").groupBy("n", "h1", "h2").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_copies"))
+    classes = prefixes.filter("k = n").groupBy("n", "h1", "h2").agg(F.min(F.struct(*KEY)).alias("key"), F.count("*").alias("n_copies"))
     proper = prefixes.filter("k < n").select(F.col("k").alias("n"), "h1", "h2").distinct()
-    return classes.join(proper, ["n", "h1", "h2"], "left_anti").select("conv_id", F.col("n").alias("n_turns"), "n_copies")
+    return classes.join(proper, ["n", "h1", "h2"], "left_anti").select("key.*", F.col("n").alias("n_turns"), "n_copies")
 
 
 def render(conversations: DataFrame) -> DataFrame:
     """(conv_id, n_turns, n_copies, rendered) of the maximal conversations."""
     keep = maximal(conversations)
-    turns = _turns(conversations)
-    kept = turns.join(keep.select(F.col("conv_id").alias("keep_id")), turns["conv_id"].eqNullSafe(F.col("keep_id")), "left_semi")
+    kept = _turns(conversations).join(keep.select(*KEY), KEY, "left_semi")
     line = F.concat(F.lit(OPEN), F.coalesce("role", F.lit("unknown")), F.lit(MIDDLE), F.coalesce("text", F.lit("")), F.lit(CLOSE))
-    lines = _numbered(kept).select("conv_id", "k", line.alias("line"))
-    texts = lines.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda t: t["line"]), "").alias("rendered"))
-    by = keep.withColumnRenamed("conv_id", "keep_id")
-    return texts.join(by, texts["conv_id"].eqNullSafe(by["keep_id"])).select("conv_id", "n_turns", "n_copies", "rendered")
+    lines = _numbered(kept).select(*KEY, "k", line.alias("line"))
+    texts = lines.groupBy(*KEY).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda t: t["line"]), "").alias("rendered"))
+    return texts.join(keep, KEY).select(F.when(~F.col("absent"), F.col("cid")).alias("conv_id"), "n_turns", "n_copies", "rendered")
 
 
 #: The same in SQL: prefixes are compared as lists of turns.
