@@ -1,0 +1,147 @@
+"""Near copies by the share of their five-word shingles: MinHash bands propose, exact Jaccard similarity decides.
+
+Words are those of the SimHash operator. Distances of SimHash fingerprints don't tell near copies from others at a
+similarity of 0.8 (2 to 11 of 64 bits differ), so candidates come from bands of `ROWS` minima each: texts that agree in a
+whole band meet in its bucket. At a similarity of 0.8 a pair meets in none of the bands once in 2,750 times.
+
+Equal texts are one content from the start. Buckets of the same members are looked at once. In a bucket each content is
+compared with all that no link joins to it yet, by the sets of its shingles' 64-bit hashes; nothing is capped.
+
+Defined results: null, empty and blank texts are copies of each other; an empty table gives no rows; columns other than
+doc_id and text are kept and ignored.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from quirespark.llm.common import settled
+from quirespark.llm.simhash import components, shingle_hashes
+
+U = np.uint64
+#: Bands, minima in each, hashes that are permuted at once.
+BANDS, ROWS, HASHED = 20, 5, 1 << 18
+#: Odd factors that permute the hashes, and one that mixes a band's minima.
+FACTORS = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, dtype=U) * U(2) + U(1)
+MIX = U(0x9E3779B97F4A7C15)
+
+
+def shingles(text: str | None, width: int = 5) -> np.ndarray:
+    """The distinct hashes of a text's shingles in order; a text without words has a zero."""
+    return np.unique(np.array(shingle_hashes(text, width) or [0], U))
+
+
+def bands(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of band values for each set."""
+    hashes = np.concatenate(sets)
+    starts = np.cumsum([0, *(len(s) for s in sets[:-1])])
+    out = np.zeros((len(sets), BANDS), U)
+    for k, factor in enumerate(FACTORS):
+        band = out[:, k // ROWS]
+        band ^= np.minimum.reduceat(hashes * factor, starts)
+        band *= MIX
+        band ^= band >> U(29)
+    return out
+
+
+def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links of sets whose similarity is `percent` at least: a forest that joins all that such pairs join."""
+    out, rest = [], list(range(len(sets)))
+    while rest:
+        queue = [rest.pop(0)]
+        while queue and rest:
+            one = sets[a := queue.pop()]
+            sizes = np.array([len(sets[b]) for b in rest])
+            near = np.flatnonzero(100 * np.minimum(sizes, len(one)) >= percent * np.maximum(sizes, len(one)))
+            if not len(near):
+                continue
+            sizes = sizes[near]
+            other = np.concatenate([sets[rest[b]] for b in near])
+            met = one[np.minimum(np.searchsorted(one, other), len(one) - 1)] == other
+            common = np.add.reduceat(met.astype(np.int64), np.cumsum(sizes) - sizes)
+            new = {rest[b] for b in near[100 * common >= percent * (sizes + len(one) - common)]}
+            out += [(a, b) for b in sorted(new)]
+            queue += new
+            rest = [b for b in rest if b not in new]
+    return out
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """docs with the 16 bytes that name each content."""
+    return docs.withColumn("__content", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+
+
+def near_links(rows: DataFrame, contents: DataFrame, width: int, percent: int) -> DataFrame:
+    """(u, v) of contents. rows: doc_id, __content, text; contents: content, least, bands."""
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(t.as_py(), width).tobytes() for t in part.column(1)], pa.binary())], names=["content", "hashes"])
+
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by bucket."""
+        bucket, names, sets = None, [], []
+
+        def found() -> pa.RecordBatch:
+            pairs = linked(sets, percent)
+            return pa.RecordBatch.from_arrays([pa.array([names[k] for k in side], pa.binary()) for side in (zip(*pairs, strict=True) if pairs else ((), ()))], names=["u", "v"])
+
+        for batch in batches:
+            for b, name, hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if b != bucket:
+                    if len(sets) > 1:
+                        yield found()
+                    bucket, names, sets = b, [], []
+                names.append(name)
+                sets.append(np.frombuffer(hashes, U))
+        if len(sets) > 1:
+            yield found()
+
+    keyed = contents.select("content", F.posexplode("bands").alias("band", "value"))
+    buckets = keyed.groupBy("band", "value").agg(F.count("*").alias("n"), *(F.sum(F.xxhash64(F.lit(k), "content").cast("decimal(38,0)")).alias(f"s{k}") for k in (1, 2))).filter("n > 1")
+    chosen = settled(buckets.groupBy("n", "s1", "s2").agg(F.min(F.struct("band", "value")).alias("b")).select("b.band", "b.value"))
+    members = settled(keyed.join(chosen, ["band", "value"]).select(F.xxhash64("band", "value").alias("bucket"), "content"))
+    wanted = contents.join(members.select("content").distinct(), "content").select(F.col("least").alias("__least"), F.col("content").alias("__wanted"))
+    texts = rows.join(wanted, (F.col("__content") == F.col("__wanted")) & F.col("doc_id").eqNullSafe(F.col("__least")), "left_semi").select("__content", "text")
+    sets = texts.mapInArrow(hashed, "content binary, hashes binary").dropDuplicates(["content"])
+    met = members.join(sets, "content").select("bucket", "content", "hashes")
+    return met.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(compared, "u binary, v binary").distinct()
+
+
+def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
+    """Of the rows that near copies join the one of least doc_id, with all its columns (nulls last, then the least content)."""
+    schema = pa.schema([("doc_id", pa.int64()), ("content", pa.binary()), ("bands", pa.list_(pa.int64()))])
+
+    def banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets, values, total = [], [], 0
+            for text in batch.column(2):
+                sets.append(shingles(text.as_py(), width))
+                total += len(sets[-1])
+                if total >= HASHED:
+                    values.append(bands(sets))
+                    sets, total = [], 0
+            if sets:
+                values.append(bands(sets))
+            if values:
+                lists = pa.ListArray.from_arrays(np.arange(0, BANDS * batch.num_rows + 1, BANDS, dtype=np.int32), np.concatenate(values).view(np.int64).ravel())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), lists], schema=schema)
+
+    named = _rows(docs)
+    rows = named.select(F.col("doc_id").cast("long").alias("doc_id"), "__content", "text")
+    found = rows.mapInArrow(banded, "doc_id long, content binary, bands array<long>")
+    contents = settled(found.groupBy("content").agg(F.min("doc_id").alias("least"), F.first("bands").alias("bands")))
+    linked_to = components(near_links(rows, contents, width, round(100 * similarity)))
+    labelled = contents.join(linked_to, F.col("content") == F.col("node"), "left").select(F.coalesce("label", "content").alias("label"), F.struct(F.col("least").isNull(), F.col("least").alias("id"), F.col("content").alias("content")).alias("row"))
+    firsts = labelled.groupBy("label").agg(F.min("row").alias("row")).select(F.col("row.id").alias("__id"), F.col("row.content").alias("__first"))
+    kept = named.join(firsts, (F.col("__content") == F.col("__first")) & F.col("doc_id").cast("long").eqNullSafe(F.col("__id")), "left_semi")
+    if rows.groupBy("doc_id", "__content").count().filter("count > 1").isEmpty():
+        return kept.drop("__content")
+    return kept.dropDuplicates(["doc_id", "__content"]).drop("__content")
