@@ -67,7 +67,8 @@ TEMPLATES = (
     (r"spdx-license-identifier: {id}(?![\w.-])", 100, "spdx-license-identifier: "),
     (r"https?://(?:www\.)?{url}", 90, "://"),
     (r"(?:is |are |be )?(?:licensed|released|distributed|published|available|provided|covered) (?:to you )?under (?:the )?(?:terms (?:and conditions )?of )?(?:the )?(?:{name})(?: licen[cs]e)?(?![\w-])", 80, " under "),
-    (r"(?:all rights reserved[.;,]? )?(?:use|usage|redistribution) (?:is |of this software is )?(?:governed by|subject to) (?:the )?(?:terms of )?(?:the )?(?:{name})(?: licen[cs]e)?(?![\w-])", 70, "licen"),
+    (r"(?:all rights reserved[.;,]? )?(?:use|usage|redistribution) (?:is |of this software is )?governed by (?:the )?(?:terms of )?(?:the )?(?:{name})(?: licen[cs]e)?(?![\w-])", 70, " governed by "),
+    (r"(?:all rights reserved[.;,]? )?(?:use|usage|redistribution) (?:is |of this software is )?subject to (?:the )?(?:terms of )?(?:the )?(?:{name})(?: licen[cs]e)?(?![\w-])", 70, " subject to "),
     (r"licen[cs]e ?[:=] ?[\"']?(?:{id}|{name})(?![\w-])", 60, "licen"),
     (r"(?<![\w-])(?:{name}) licen[cs]e(?![\w-])", 50, "licen"),
 )
@@ -80,7 +81,8 @@ WORDINGS = (
     ("isc", r"permission to use, copy, modify, and(?:/or)? distribute this software for any purpose", 85, "permission to use, copy"),
     ("bsd", r"redistribution and use in source and binary forms", 85, "redistribution and use in"),
     ("gpl", r"under the terms of the gnu general public license as published by the free software foundation", 85, "gnu general public license"),
-    ("proprietary", r"proprietary and confidential|unauthori[sz]ed copying of this file", 40, "proprietary"),
+    ("proprietary", r"proprietary and confidential", 40, "proprietary"),
+    ("proprietary", r"unauthori[sz]ed copying of this file", 40, "unauthori"),
     ("no-warranty", r"provided [\"'“]?as is[\"'”]?,? without warranty", 20, "warranty"),
 )
 #: Fixed values of the base: phrase and label.
@@ -88,7 +90,7 @@ PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general publi
 #: Words of lower-cased text, and the same of any case, as Java's expressions are faster with what a class holds.
 WORD, WORD_ANY_CASE = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", r"[0-9A-Za-z\x80-\x{10FFFF}]+"
 #: One of these is in every match of every rule, and in every phrase.
-GATE = ("licen", "spdx", " under ", "copyright", "all rights reserved", "public domain", "permission", "redistribution", "proprietary", "unauthori", "warranty", "://")
+GATE = ("licen", "spdx", " under ", " governed by ", " subject to ", "copyright", "all rights reserved", "public domain", "permission", "redistribution", "proprietary", "unauthori", "warranty", "://")
 
 
 FOUND = "array<struct<start int, end int, priority int, rank int, label string>>"

@@ -1,3 +1,4 @@
+import random
 import re
 
 import pytest
@@ -78,3 +79,39 @@ def test_awkward_and_empty(spark):
 def test_no_python_in_the_plan(spark, small):
     plan = licenses.scan(spark.read.parquet(f"{small}/documents.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Exchange" not in plan
+
+
+def made(parsed, rng):
+    """A match of a parsed pattern."""
+    out = ""
+    for op, arg in parsed:
+        name = str(op)
+        if name == "LITERAL":
+            out += chr(arg)
+        elif name == "BRANCH":
+            out += made(rng.choice(arg[1]), rng)
+        elif name == "SUBPATTERN":
+            out += made(arg[3], rng)
+        elif name == "MAX_REPEAT":
+            out += "".join(made(arg[2], rng) for _ in range(rng.randint(arg[0], min(arg[1], 2))))
+        elif name == "IN":
+            kind, value = rng.choice(arg)
+            out += chr(value) if str(kind) == "LITERAL" else "7"
+        else:
+            assert name in ("ASSERT", "ASSERT_NOT"), name
+    return out
+
+
+def test_every_match_passes_the_filters():
+    rng = random.Random(1)
+    for r in licenses.rules():
+        for _ in range(60):
+            text = made(re._parser.parse(r.pattern), rng)
+            assert re.search(r.pattern, text), (r, text)
+            assert r.keyword in text and any(w in text for w in r.literals) and any(g in text for g in licenses.GATE), (r, text)
+
+
+def test_wordings_without_other_keywords(spark):
+    texts = ["Unauthorized copying of this file, via any medium, is prohibited", "Use is subject to the terms of the GPLv3.", "Usage governed by Apache 2.0"]
+    rows = licenses.scan(documents(spark, texts)).orderBy("doc_id").collect()
+    assert [r.labels for r in rows] == ["proprietary", "gpl-3.0", "apache-2.0"]
