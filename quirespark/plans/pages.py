@@ -57,7 +57,7 @@ def html_bbox_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def image_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Images found by file name, put into the pages' image elements by their place."""
-    part = table(spark, sf_dir, "part").filter("p_partkey <= 500")
+    part = table(spark, sf_dir, "part")
     paths = part.select(F.concat(F.lit("/figures/doc_page_"), (F.col("p_partkey") % 60).cast("string"), F.lit("_"), F.floor(F.col("p_partkey") / 60 + 1).cast("string"), F.when(F.col("p_size") % 5 == 0, ".tiff").otherwise(".png")).alias("path"))
     pages = spark.range(60).select(F.col("id").cast("int").alias("page"), F.lit('<p>a</p><img alt="x"><img src="old">').alias("html"))
     return longs(htmltree.insert_sources(pages, htmltree.image_index(paths, "doc")))
