@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Elements by their role in a page.
-RAW = "script style noscript template svg math iframe object canvas select textarea video audio head".split()
+RAW = "script style textarea noscript template svg math iframe object canvas select video audio title".split()
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul option".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 NOT_ARTICLE = frozenset("nav footer aside form menu dialog button fieldset label".split())
@@ -39,7 +39,12 @@ FOREIGN = frozenset("comment comments commentlist disqus respond reply replies d
 SEEN = {"w:p": (400, 40), "w:h1": (30, 10), "w:h2": (30, 10), "w:h3": (20, 10), "w:blockquote": (30, 5), "w:pre": (30, 5), "w:li": (40, 15), "w:td": (30, 15), "w:div": (60, 60), "w:section": (40, 40), "w:article": (60, 10), "w:a": (5, 40), "w:hint": (1, 80), "t:p": (60, 20), "t:br": (20, 10), "t:div": (10, 40), "t:h1": (20, 10), "t:h2": (20, 10), "t:h3": (20, 10), "t:ul": (20, 10), "t:ol": (20, 10), "t:li": (20, 10), "t:blockquote": (20, 10), "t:pre": (20, 10), "t:table": (20, 15), "t:tr": (20, 15), "t:td": (20, 15), "t:b": (20, 10), "t:i": (20, 10), "t:em": (20, 10), "t:strong": (20, 10), "t:span": (20, 20), "t:a": (10, 20), "t:hint": (1, 40), "t:article": (1, 20), "t:main": (1, 20), "t:body": (1, 20)}
 #: Parts of names that tell of a page's layout, not of the element ("has-sidebar").
 ABOUT = frozenset("no not has with without".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(" + "|".join(RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(?=[/!?a-zA-Z])[^<>]*\Z|[^<]+|<", re.S | re.I)
+ATTRIBUTES = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
+#: Without an end tag only a script, a style or a text area goes on to the end of the page; svg and math may be empty.
+TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(?!(?:svg|math)(?=[\s/>])" + ATTRIBUTES + r"/>)((script|style|textarea)|" + "|".join(RAW[3:]) + r")(?=[\s/>])" + ATTRIBUTES + r">(?:.*?</\1\s*>|(?(2).*\Z|(?!)))|<(/?)([a-zA-Z][^\s/>]*)(" + ATTRIBUTES + r")>|<(?=[/!?a-zA-Z])[^<>]*\Z|[^<]+|<",
+    re.S | re.I,
+)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -73,7 +78,7 @@ def parts(html: str) -> list[Part]:
     away, depth, foreign = "", 0, False  # the element that is no article in which we are, and how often it is nested
     marked = heading = 0
     for m in TOKEN.finditer(html):
-        name = m[3]
+        name = m[4]
         if name is None:
             s = m[0]
             if s[0] != "<" or s == "<":
@@ -84,7 +89,7 @@ def parts(html: str) -> list[Part]:
             elif m[1] and not away:
                 out.append(Part("t:raw", 0, " ", True, bool(marked)))
             continue
-        name, closing = name.lower(), bool(m[2])
+        name, closing = name.lower(), bool(m[3])
         is_block = name in BLOCKS
         if away in ("p", "li") and is_block and not (closing and name == away):
             away, depth = "", 0
@@ -93,13 +98,13 @@ def parts(html: str) -> list[Part]:
                 depth += -1 if closing else 1
                 if not depth:
                     away, foreign = "", False
-            elif name in MARKED and not closing and not foreign and away not in NOT_ARTICLE and not _hints(m[4]) & FOREIGN:
+            elif name in MARKED and not closing and not foreign and away not in NOT_ARTICLE and not _hints(m[5]) & FOREIGN:
                 away, depth = "", 0  # a wrapper with a misleading name
-        elif not closing and name not in ("html", "body"):
-            hints = _hints(m[4])
+        elif not closing and name not in ("html", "head", "body"):
+            hints = _hints(m[5])
             foreign = bool(hints & FOREIGN)
             if name in NOT_ARTICLE or name == "header" or foreign or (hints & HINTS and name not in MARKED and name not in HEADINGS):
-                if name not in VOID:
+                if name not in VOID and name not in RAW:  # here a raw element has no end tag
                     away, depth = name, 1
         if name in MARKED and not (away and foreign):
             marked = max(0, marked + (-1 if closing else 1))

@@ -62,3 +62,15 @@ def test_awkward(spark):
     assert rows[9].n_chars == len("long words ") * 20_000 - 1 and rows[None].text == "null id"
     assert mainhtml.extract(pages).count() == len(html) + 2
     assert mainhtml.extract(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "before",
+    ["<head><title>T t t</title><script>var t='<p>';</script><body>", "<head><meta charset=x><title>T</title>", "<body><svg class='ad' width=1 />", "<body><math/>", "<body><video-player src=x></video-player>", "<body><iframe class=ad src=x>"],
+)
+def test_elements_without_end_tags(before):
+    assert mainhtml.main_text(before + "<article>" + ARTICLE + "</article></body>", WEIGHTS) == TEXT
+
+
+def test_unclosed_script_hides_the_rest():
+    assert mainhtml.main_text("<article>" + ARTICLE + "</article><script>var more = 'words';<p>of it", WEIGHTS) == TEXT
