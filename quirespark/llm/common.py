@@ -20,6 +20,8 @@ def shared_dir(spark: SparkSession) -> str:
         return at.rstrip("/")
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="quirespark-"))
     return sc.getCheckpointDir().rstrip("/")
 
@@ -30,6 +32,18 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Column names for an operator's own use, which df doesn't have, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 class Scratch:
     """Parquet tables in the shared folder for results that are read more than once, removed by close()."""
 

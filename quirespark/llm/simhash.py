@@ -11,6 +11,9 @@ Gray rank; runs of neighbours form nodes that hold the bits which all of them sh
 nodes, and pairs of nodes are dropped as a whole once the shared bits differ in more than two places. A bucket
 yields a forest, at most one link per fingerprint, and minimum-label stars join the forests across buckets.
 
+keep_one() has the wider rule of corpora, five-word shingles of a similarity of 0.8: two bits of 64 don't tell that, so
+its fingerprints have 256 bits, groups share masked bit patterns (bands), and an exact check of the texts follows.
+
 Defined results: null and empty texts have fingerprint zero and are linked like any other; equal rows share a
 component; an empty table gives no rows; columns other than doc_id and text are ignored.
 """
@@ -18,6 +21,7 @@ component; an empty table gives no rows; columns other than doc_id and text are
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirespark.llm.common import settled
+from quirespark.llm.common import fresh, settled
 
 U = np.uint64
 LANES = U(0x0101010101010101)
@@ -33,6 +37,8 @@ LANES = U(0x0101010101010101)
 COUNTED, BUCKET, FANOUT, FRONTIER = 1 << 18, 4096, 8, 1 << 18
 #: A fingerprint of more than one in so many rows is hot.
 HOT_SHARE = 1000
+#: Hot buckets that are broadcast at most; beyond, they are joined.
+HOT_BROADCAST = 200_000
 #: (first bit, number of bits) of the blocks: of the word, of what the first leaves, of what the second leaves.
 CUTS = ((0, 21), (21, 21), (42, 22))
 
@@ -269,11 +275,194 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return found.join(hot, "fp").unionByName(rest).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "n_copies")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is the least of their component, with all their columns; of rows that repeat a doc_id and a text, one."""
-    found = settled(near_duplicates(docs).select("doc_id", "component_id"))
-    firsts = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__first")).distinct()
-    kept = docs.join(firsts, F.col("doc_id").cast("long").eqNullSafe(F.col("__first")), "left_semi")
-    if found.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return kept
-    return kept.dropDuplicates(["doc_id", "text"])
+@dataclass(frozen=True)
+class Near:
+    """Which texts are near copies, and how widely fingerprints are searched for them.
+
+    A similarity of 0.8 leaves 15 % of a fingerprint's bits different: `most` is four deviations more. At 0.8 a pair
+    shares one of the bands 96 times in 100, at 0.85 99 times, at 0.9 but for one in 2,500.
+    """
+
+    width: int = 5
+    percent: int = 80
+    #: 64-bit words of a fingerprint; bands, and bits of each.
+    words: int = 4
+    bands: int = 32
+    band_bits: int = 14
+    #: Differing bits of a candidate at most; of a text that is no leader itself.
+    most: int = 62
+    near: int = 16
+
+
+#: Odd factors that mix a hash, and the weights of its other words.
+MIX = (U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB), U(0x9E3779B97F4A7C15))
+
+
+def shingle_set(text: str | None, width: int) -> np.ndarray:
+    """The distinct hashes of a text's shingles in order; a text without words has a zero."""
+    return np.unique(np.array(shingle_hashes(text, width) or [0], U))
+
+
+def wide_fingerprints(sets: list[np.ndarray], words: int) -> np.ndarray:
+    """A row of `words` 64-bit words for each set; each word is the majority of the hashes, mixed anew."""
+    hashes = np.concatenate(sets)
+    starts = np.cumsum([0, *(len(s) for s in sets[:-1])])
+    out = np.zeros((len(sets), words), U)
+    for k in range(words):
+        h = hashes + MIX[2] * U(k + 1)
+        for shift, factor in ((U(30), MIX[0]), (U(27), MIX[1])):
+            h ^= h >> shift
+            h *= factor
+        out[:, k] = majority(h ^ h >> U(31), starts)
+    return out
+
+
+def band_values(codes: np.ndarray, how: Near) -> np.ndarray:
+    """The values of the bands: fixed choices of bits."""
+    bits = np.unpackbits(codes.view(np.uint8), axis=1, bitorder="little")
+    draw = np.random.default_rng(42)
+    places = np.concatenate([draw.permutation(64 * how.words) for _ in range(-(-how.bands * how.band_bits // (64 * how.words)))])
+    chosen = places[: how.bands * how.band_bits].reshape(how.bands, how.band_bits)
+    return (bits[:, chosen].astype(np.int32) << np.arange(how.band_bits, dtype=np.int32)).sum(axis=2, dtype=np.int32)
+
+
+def nearest_leaders(groups: np.ndarray, codes: np.ndarray, how: Near) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, its leader) and the leaders: in each run of equal groups a row's nearest leader before it, if near enough.
+
+    The first row of a run leads; whatever differs from a leader in more than how.near bits leads in its turn.
+    """
+    best, leader = np.full(len(groups), how.most + 1), np.full(len(groups), -1)
+    live, leaders = np.arange(len(groups)), []
+    while len(live):
+        head = np.append(True, groups[live][1:] != groups[live][:-1])
+        leaders.append(live[head])
+        first = live[head][np.cumsum(head) - 1][~head]
+        live = live[~head]
+        differ = np.bitwise_count(codes[live] ^ codes[first]).sum(axis=1, dtype=np.int64)
+        closer = differ < best[live]
+        best[live[closer]], leader[live[closer]] = differ[closer], first[closer]
+        live = live[differ > how.near]
+    found = np.flatnonzero(leader >= 0)
+    return found, leader[found], np.sort(np.concatenate(leaders))
+
+
+def _leader_batches(how: Near):
+    """Links of (k1, k2, content, code) rows that come sorted by (k1, k2). A bucket that goes on keeps its leaders alone."""
+    schema = pa.schema([("u", pa.binary()), ("v", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, names, codes = np.zeros((0, 2), np.int64), np.zeros(0, "V16"), np.zeros((0, how.words), U)
+
+        def linked(last: bool) -> pa.RecordBatch:
+            nonlocal keys, names, codes
+            new = np.append(True, (keys[1:] != keys[:-1]).any(axis=1))
+            group = np.cumsum(new)
+            order = np.lexsort((gray_rank(codes[:, 0]), group))
+            keys, names, codes, group = keys[order], names[order], codes[order], group[order]
+            row, to, leaders = nearest_leaders(group, codes, how)
+            out = [pa.array(names[k].tolist(), pa.binary()) for k in (row, to)]
+            stay = leaders[group[leaders] == group[-1]] if not last else leaders[:0]
+            keys, names, codes = keys[stay], names[stay], codes[stay]
+            return pa.RecordBatch.from_arrays(out, schema=schema)
+
+        for batch in batches:
+            if batch.num_rows:
+                keys = np.concatenate([keys, np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], 1)])
+                names = np.concatenate([names, np.frombuffer(b"".join(batch.column(2).to_pylist()), "V16")])
+                codes = np.concatenate([codes, np.frombuffer(b"".join(batch.column(3).to_pylist()), U).reshape(-1, how.words)])
+            if len(keys) >= FRONTIER:
+                yield linked(False)
+        if len(keys):
+            yield linked(True)
+
+    return run, "u binary, v binary"
+
+
+def near_links(contents: DataFrame, how: Near = Near(), bucket: int = BUCKET) -> DataFrame:
+    """(u, v): candidates among contents (content, code, bands). Texts meet in the buckets of their bands.
+
+    A bucket of more than `bucket` texts is dealt again by the other bands, so that it spreads over many tasks.
+    """
+    keyed = contents.select("content", "code", F.posexplode("bands").alias("band", "value"))
+    hot = settled(keyed.groupBy("band", "value").count().filter(F.col("count") > bucket).select("band", "value"))
+    side = F.broadcast(hot) if hot.count() <= HOT_BROADCAST else hot
+    k1 = F.shiftleft(F.col("band").cast("long"), 32).bitwiseOR(F.col("value").cast("long")).alias("k1")
+    once = keyed.join(side, ["band", "value"], "left_anti").select(k1, F.lit(0).cast("long").alias("k2"), "content", "code")
+    again = keyed.select("content", "band", "value").join(side, ["band", "value"], "left_semi").join(contents, "content")
+    again = again.select(k1, "band", "content", "code", F.posexplode("bands").alias("other", "its")).filter("other <> band")
+    again = again.select("k1", F.shiftleft((F.col("other") + 1).cast("long"), 32).bitwiseOR(F.col("its").cast("long")).alias("k2"), "content", "code")
+    run, schema = _leader_batches(how)
+    return once.unionByName(again).repartition("k1", "k2").sortWithinPartitions("k1", "k2").mapInArrow(run, schema).distinct()
+
+
+def alike(one: np.ndarray, other: np.ndarray, percent: int) -> bool:
+    """Whether the Jaccard similarity of two sets in order is `percent` at least."""
+    if 100 * min(len(one), len(other)) < percent * max(len(one), len(other)):
+        return False
+    common = int((one[np.minimum(np.searchsorted(one, other), len(one) - 1)] == other).sum())
+    return 100 * common >= percent * (len(one) + len(other) - common)
+
+
+def _alike_batches(how: Near):
+    """Of (u, v, text of u, text of v) the links of similar texts; a leader's rows stand together."""
+    schema = pa.schema([("u", pa.binary()), ("v", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, held = None, np.zeros(0, U)
+        for batch in batches:
+            keep = []
+            for v, one, other in zip(*(batch.column(k) for k in (1, 2, 3)), strict=True):
+                if v != name:
+                    name, held = v, shingle_set(other.as_py(), how.width)
+                keep.append(alike(shingle_set(one.as_py(), how.width), held, how.percent))
+            yield pa.RecordBatch.from_arrays([batch.column(k).filter(pa.array(keep, pa.bool_())) for k in (0, 1)], schema=schema)
+
+    return run, "u binary, v binary"
+
+
+def _wide_batches(how: Near):
+    schema = pa.schema([("doc_id", pa.int64()), ("content", pa.binary()), ("code", pa.binary()), ("bands", pa.list_(pa.int32()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets, found, total = [], [], 0
+            for text in batch.column(2):
+                sets.append(shingle_set(text.as_py(), how.width))
+                total += len(sets[-1])
+                if total >= COUNTED:
+                    found.append(wide_fingerprints(sets, how.words))
+                    sets, total = [], 0
+            if sets:
+                found.append(wide_fingerprints(sets, how.words))
+            if found:
+                codes = np.concatenate(found)
+                lists = pa.ListArray.from_arrays(np.arange(0, how.bands * len(codes) + 1, how.bands, dtype=np.int32), band_values(codes, how).ravel())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), lists], schema=schema)
+
+    return run, "doc_id long, content binary, code binary, bands array<int>"
+
+
+def keep_one(docs: DataFrame, how: Near = Near()) -> DataFrame:
+    """Of the rows that near copies join the one of least doc_id, with all its columns (nulls last, then the least content).
+
+    Near copies share `how.percent` of their distinct `how.width`-word shingles at least. Wide fingerprints propose them:
+    in each bucket a text is linked with the nearest one before it, and the links whose texts aren't similar are dropped.
+    Null, empty and blank texts are copies of each other; of equal rows one stays.
+    """
+    content, first, first_id = fresh(docs, "content", "first", "first_id")
+    named = docs.withColumn(content, F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+    rows = named.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(content).alias("content"), "text")
+    contents = settled(rows.mapInArrow(*_wide_batches(how)).groupBy("content").agg(F.min("doc_id").alias("least"), F.first("code").alias("code"), F.first("bands").alias("bands"), F.count("*").alias("n")))
+    links = settled(near_links(contents.select("content", "code", "bands"), how))
+    met = links.select(F.explode(F.array("u", "v")).alias("content")).distinct()
+    wanted = contents.join(met, "content").select(F.col("least").alias("its_id"), F.col("content").alias("wanted"))
+    texts = rows.join(wanted, (F.col("content") == F.col("wanted")) & F.col("doc_id").eqNullSafe(F.col("its_id")), "left_semi").select("content", "text").dropDuplicates(["content"])
+    pairs = links.join(texts.select(F.col("content").alias("u"), F.col("text").alias("one")), "u").join(texts.select(F.col("content").alias("v"), F.col("text").alias("other")), "v")
+    similar = pairs.select("u", "v", "one", "other").mapInArrow(*_alike_batches(how))
+    labels = components(similar)
+    labelled = contents.join(labels, F.col("content") == F.col("node"), "left").select(F.coalesce("label", "content").alias("label"), F.struct(F.col("least").isNull(), F.col("least").alias("id"), F.col("content").alias("content")).alias("row"), "n")
+    firsts = settled(labelled.groupBy("label").agg(F.min_by(F.struct("row.id", "row.content", "n"), "row").alias("row")).select(F.col("row.id").alias(first_id), F.col("row.content").alias(first), F.col("row.n").alias("n")))
+    same = (F.col(content) == F.col(first)) & F.col("doc_id").cast("long").eqNullSafe(F.col(first_id))
+    alone = named.join(firsts.filter("n = 1"), same, "left_semi")
+    copies = named.join(firsts.filter("n > 1"), same, "left_semi").dropDuplicates(["doc_id", content])
+    return alone.unionByName(copies).drop(content)

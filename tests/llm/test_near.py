@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from helpers import awkward, documents
 
-from quirespark.llm import near, simhash
+from quirespark.llm import simhash
 
 
 def brute_set(text, width=5):
@@ -52,22 +52,97 @@ def test_near_copies_go_in_the_stage(spark, small):
 @pytest.mark.parametrize("scale", ["sf0.001", "sf0.01"])
 def test_whole_table(spark, scale):
     docs = spark.read.parquet(f"/root/testdata/{scale}/documents.parquet")
-    kept = near.keep_one(docs)
+    kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == sorted(brute([(r.doc_id, r.text) for r in docs.collect()]))
 
 
-def test_chains_and_below_the_threshold():
+def near_texts(seed, n, size=200, similarity=0.8):
+    """Pairs of texts whose similarity is `similarity` or just above, by words changed far apart."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for _ in range(n):
+        words = [f"w{x}" for x in rng.integers(0, 100_000, size)]
+        changed = int((1 - similarity) / (1 + similarity) * (size - 4) / 5)
+        copy = [*words]
+        for at in (rng.permutation((size - 8) // 5)[:changed] * 5 + 4).tolist():
+            copy[at] = "changed"
+        out.append((" ".join(words), " ".join(copy)))
+    return out
+
+
+@pytest.mark.parametrize(("similarity", "least"), [(0.8, 0.9), (0.85, 0.97), (0.9, 0.99)])
+def test_recall_near_the_threshold(spark, similarity, least):
+    """Measured recall of pairs at a similarity of 0.8, 0.85 and 0.9."""
+    pairs = near_texts(7, 400, similarity=similarity)
+    docs = documents(spark, [t for p in pairs for t in p])
+    assert all(len(brute_set(a) & brute_set(b)) >= 0.8 * len(brute_set(a) | brute_set(b)) for a, b in pairs)
+    left = simhash.keep_one(docs).count()
+    assert 400 <= left <= 400 + (1 - least) * 400
+
+
+def test_exact_similarity_decides():
     base = np.arange(100, dtype=np.uint64)
-    shifted = [base + np.uint64(10 * k) for k in range(5)]  # neighbours: 90 of 110; the next but one: 80 of 120
-    assert len(near.linked(shifted, 80)) == 4
-    assert near.linked([base, base + np.uint64(12)], 80) == []  # 88 of 112
-    assert near.linked([base[:9], base[:10], base[:5]], 90) == [(0, 1)]
+    assert simhash.alike(base, base + np.uint64(11), 80)  # 89 of 111
+    assert not simhash.alike(base, base + np.uint64(12), 80)  # 88 of 112
+    assert not simhash.alike(base, base[:79], 80) and simhash.alike(base, base[:80], 80)
+
+
+def test_below_the_threshold_stays(spark):
+    pairs = near_texts(9, 40, similarity=0.7)
+    docs = documents(spark, [t for p in pairs for t in p])
+    assert simhash.keep_one(docs).count() == 80
+
+
+@pytest.mark.parametrize("bucket", [1, 4096])
+def test_hot_groups(spark, bucket, monkeypatch):
+    """A large group of near copies, dealt by one band and by two, and in several chunks of a bucket."""
+    rng = np.random.default_rng(1)
+    words = [f"w{x}" for x in rng.integers(0, 5000, 200)]
+    texts = []
+    for k in range(300):
+        copy = [*words]
+        copy[20 + k % 160] = f"x{k}"
+        texts.append(" ".join(copy))
+    texts += [" ".join(f"w{x}" for x in rng.integers(0, 5000, 200)) for _ in range(50)] + [texts[0]] * 30
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
+    monkeypatch.setattr(simhash.near_links, "__defaults__", (simhash.Near(), bucket))
+    monkeypatch.setattr(simhash, "FRONTIER", 64)
+    docs = documents(spark, texts)
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == {0, *range(300, 350)}
+
+
+def test_nearest_leaders_against_all_pairs():
+    rng = np.random.default_rng(3)
+    how = simhash.Near(words=1, most=10, near=3)
+    base = rng.integers(0, 2**63, 6, dtype=np.uint64)
+    codes = base[rng.integers(0, 6, 200)] ^ (np.uint64(1) << rng.integers(0, 64, 200).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 200).astype(np.uint64))
+    groups = np.sort(rng.integers(0, 9, 200))
+    row, to, leaders = simhash.nearest_leaders(groups, codes[:, None], how)
+    want, leads = {}, []
+    for i in range(200):
+        seen = [(int(codes[i] ^ codes[j]).bit_count(), j) for j in leads if groups[j] == groups[i]]
+        if seen and min(seen)[0] <= how.most:
+            want[i] = min(seen)[1]
+        if not seen or min(seen)[0] > how.near:
+            leads.append(i)
+    assert dict(zip(row.tolist(), to.tolist(), strict=True)).keys() == want.keys() and leaders.tolist() == leads
+    for i, j in zip(row.tolist(), to.tolist(), strict=True):
+        assert int(codes[i] ^ codes[j]).bit_count() == int(codes[i] ^ codes[want[i]]).bit_count()
 
 
 def test_awkward(spark):
     docs = awkward(spark)
-    kept = near.keep_one(docs)
+    kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 4, 6, 7]
-    assert near.keep_one(documents(spark, ["x"]).filter("doc_id < 0")).count() == 0
+    assert simhash.keep_one(documents(spark, ["x"]).filter("doc_id < 0")).count() == 0
+
+
+def test_repeated_ids_and_clashing_names(spark):
+    rows = [(1, "alpha beta", 0), (5, "totally other", 1), (5, "alpha beta", 2), (None, "alpha beta", 3)]
+    names = ["content", "first", "first_id", "label", "n", "least", "bands", "code"]
+    docs = spark.createDataFrame([(d, t, *[str(k)] * len(names)) for d, t, k in rows], "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(r.content for r in kept.collect()) == ["0", "1"]

@@ -4,8 +4,8 @@ import corpus_pipeline
 import pytest
 from helpers import SCHEMA, awkward
 from test_leaks import brute_find
+from test_near import brute as brute_near
 from test_packing import verify
-from test_simhash import brute_components, brute_fp
 from test_suffixes import brute as brute_suffixes
 
 from quirespark.llm import quality
@@ -30,7 +30,7 @@ def test_stages_against_brute_force(spark, small):
             assert sum(marks.get(d) == 1 and d not in good for d in before) <= 0.02 * len(before)
         elif name == "simhash near-dedup":
             rows = list(before.items())
-            firsts = set(brute_components([(d, brute_fp(t)) for d, t in rows]))
+            firsts = brute_near(rows)
             assert kept == {d: t for d, t in rows if d in firsts}
         elif name == "suffix-array dedup":
             want = brute_suffixes(list(before.items()))
