@@ -8,7 +8,7 @@ Training takes at most `rows` labelled documents (those of least hash of doc_id)
 fixed order; the weights, at most 2^bits of them, are broadcast. Every document is scored over its whole text.
 
 Defined results: null and empty texts have no features and get the score of the bias; rows with a null label don't
-train, and a doc_id labelled twice counts once, with its higher label; without labels every score is a half; equal rows
+train, and a doc_id labelled twice counts once, with its higher label; of several texts of a doc_id the least trains; without labels every score is a half; equal rows
 get equal scores; an empty table gives no rows; other columns are ignored by score() and kept by keep_good().
 """
 
@@ -45,7 +45,7 @@ class Ftrl:
 def shape(word: str) -> str:
     for pattern, mark in SHAPES:
         word = pattern.sub(mark, word)
-    return word[:24]
+    return word
 
 
 class Features:
@@ -141,6 +141,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = 8192, how: Ftrl = Ftrl()
         marked = marked.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % fold != 0)
     sample = marked.groupBy("doc_id").agg(F.max("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id")  # bounded by `rows`
+    texts = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("quality").alias("quality"))  # a row for each id, however often it stands
     task, schema = _train_task(how)
     ordered = texts.repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id", "text")
     weights, bias = np.zeros(1 << how.bits), 0.0

@@ -1,6 +1,10 @@
+import collections
+import math
+import re
 import zlib
 
 import numpy as np
+import xxhash
 from helpers import SCHEMA, awkward, documents
 
 from quirespark.llm import quality
@@ -71,3 +75,52 @@ def test_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r.score for r in quality.score(documents(spark, ["a b", None]), none).collect()} == {0.5}
     assert quality.score(spark.createDataFrame([], SCHEMA), none).count() == 0
+
+
+def brute_score(text, weights, bias, bits=18):
+    """A whole score by dictionaries of n-grams and plain integers."""
+    a, b, c, most = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, (1 << 64) - 1
+    words = (text or "").split()
+
+    def shaped(w):
+        w = re.sub("[A-ZÀ-ÖØ-Þ]+", "A", w)
+        w = re.sub(r"[^\W\d_A-Z]+", "a", w)
+        return re.sub(r"\d+", "0", w)
+
+    word = [xxhash.xxh64_intdigest(w.encode(), 1) for w in words]
+    form = [c if k and words[k - 1] == w else xxhash.xxh64_intdigest(shaped(w).encode(), 2) for k, w in enumerate(words)]
+    kinds = [[w * a & most for w in word], [(x * a + y) * b & most for x, y in zip(word, word[1:], strict=False)], [(x * b + y) * c & most for x, y in zip(form, form[1:], strict=False)]]
+    total = bias
+    counts = collections.Counter()
+    size = {}
+    for kind in kinds:
+        for h in kind:
+            place = ((h ^ h >> 29) * a & most) >> (64 - bits)
+            counts[place] += 1
+            size.setdefault(place, len(kind))
+    for place, n in counts.items():
+        total += weights[place] * math.sqrt(n / size[place])
+    return 1 / (1 + math.exp(-max(-35, min(35, total))))
+
+
+def test_whole_scores_against_brute_force(spark, small):
+    docs, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
+    weights, bias = quality.fit(docs, labels)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = quality.score(docs, labels).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        assert abs(r.score - brute_score(texts[r.doc_id], weights, bias)) < 1e-9
+
+
+def test_shapes_are_whole_words():
+    """Words that differ after many characters have different shapes."""
+    assert quality.shape("ab-" * 20 + "x") != quality.shape("ab-" * 20 + "9")
+
+
+def test_an_id_with_several_texts_trains_once(spark):
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    plain = spark.createDataFrame([(1, "a good text"), (2, "bad bad bad")], "doc_id long, text string")
+    more = plain.unionByName(spark.createDataFrame([(1, "zzz")] * 5, "doc_id long, text string"))
+    (w1, b1), (w2, b2) = quality.fit(plain, labels, fold=None), quality.fit(more, labels, fold=None)
+    assert b1 == b2 and np.array_equal(w1, w2)
