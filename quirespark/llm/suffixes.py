@@ -7,12 +7,13 @@ Every string of `width` bytes holds an anchor: the leftmost least hash among its
 strings with one anchor form a run, and only the suffix at a run's start is sorted, cut where the run's last string
 ends. Equal strings have equal anchors, so only suffixes that share an anchor are compared:
 
-1. Anchors are counted; those that occur once can't be in a repeated string. A bitmap of fixed size tells of the
+1. Anchors are counted; those that occur once can't be in a repeated string. A Bloom filter of fixed size tells of the
    others (its false positives only cost work). Where there are more than it can tell apart, they are joined with
    the anchors of the documents instead, and each document gets the list of its own.
-2. Each chunk of documents sorts its suffixes by (anchor, bytes). Of equal ones the earliest stays, the
-   others are known to be repeats. The sorted run is front-coded (length of the prefix shared with the predecessor, and
-   the rest) and cut at fixed points of the anchor range, which deal it out evenly.
+2. Each chunk of documents, of the same size at every scale, sorts its suffixes by (anchor, bytes) and front-codes them
+   (length of the prefix shared with the predecessor, and the rest). A task merges the runs of its chunks; of equal
+   suffixes the earliest stays, the others are known to be repeats. The merged run is cut at fixed points of the anchor
+   range, which deal it out evenly.
 3. Each range merges its runs by a tree of losers that holds how much each loser shares with the last winner:
    unequal shared lengths decide without looking at a byte, equal ones are compared from there on. The merge yields the
    suffixes in order with the lengths of their common prefixes: equal suffixes are neighbours, and repeats of the earliest.
@@ -21,15 +22,19 @@ ends. Equal strings have equal anchors, so only suffixes that share an anchor ar
 
 An anchor with very many suffixes is hot: its strings become suffixes of their own, which spread over all ranges.
 
-Defined results: a null text is an empty one; texts under `width` bytes are kept; a null doc_id sorts last; rows
-that repeat a doc_id count as one document, which must have one text; an empty table gives no rows; columns
-other than doc_id and text are ignored by spans() and kept by remove().
+Defined results: a null text is an empty one; texts under `width` bytes are kept; rows that repeat a doc_id and its text
+are one document; of a doc_id with several texts the one of least hash is that document, and the others, like texts
+without a doc_id, are documents of their own that come after all others; an empty table gives no rows; columns other
+than doc_id and text are ignored by spans() and kept by remove().
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -38,15 +43,17 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quirespark.llm.common import settled
+from quirespark.llm.common import fresh, settled
 
 U = np.uint64
-#: Bytes of text that a map task sorts at once, and that are hashed at once. With many ranges a chunk grows, so that its
-#: run has some suffixes for each of them, up to a limit.
-CHUNK, SLICE, CHUNK_BY_RANGE, CHUNK_MOST = 4 << 20, 1 << 20, 4 << 10, 64 << 20
-#: log2 of the bits of the bitmap of repeated anchors; suffixes of a range; suffixes of an anchor that is hot at least.
-FILTER_BITS, RANGE_ROWS, HOT_LEAST, HOT_SHARE = 28, 100_000, 2000, 500
-NO_ID = (1 << 63) - 1
+#: Bytes of text that a map task sorts at once, and that are hashed at once; bytes of front-coded runs that it merges.
+CHUNK, SLICE, HELD = 4 << 20, 1 << 20, 24 << 20
+#: log2 of the bits of the filter of repeated anchors; suffixes of a range; suffixes of an anchor that is hot at least.
+FILTER_BITS, RANGE_ROWS, HOT_LEAST, HOT_SHARE = 29, 100_000, 2000, 500
+#: Bits of a hash that the filter skips, for each of its places; bits of it for an anchor at least.
+SKIPPED, BITS_EACH = (0, 18, 35), 4
+#: Documents after all others.
+LATER = 1 << 62
 MIX = tuple(U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
 
@@ -314,68 +321,120 @@ def repeated_windows(strings: list[bytes], doc: np.ndarray, lo: np.ndarray, widt
     return doc[later], start[later]
 
 
-def _sorted_runs(width: int, gram: int, ranges: int, bitmap, hot: np.ndarray):
+def bloom_places(key: np.ndarray, bits: int) -> list[np.ndarray]:
+    """The places of hashes in a filter of 2^bits bits."""
+    return [key << U(min(skip, 64 - bits)) >> U(64 - bits) for skip in SKIPPED]
+
+
+class Sorted(NamedTuple):
+    """A front-coded run of suffixes, each with its document and start."""
+
+    shared: list[int]
+    lengths: list[int]
+    rests: bytes
+    owners: list[int]
+    starts: list[int]
+
+
+def local_merge(held: list[Sorted], bounds: list[bytes], gone: list[tuple[int, int, int]]) -> Iterator[tuple[int, Sorted]]:
+    """(range, its part) of the merged runs. Of equal suffixes the earliest stays, the others go to `gone`."""
+    sources = [Run(h.shared, h.lengths, h.rests) for h in held]
+    shared: list[int] = []
+    lengths: list[int] = []
+    rests: list[bytes] = []
+    owners: list[int] = []
+    starts: list[int] = []
+    r, before = 0, b""
+    for k, h in merge(sources):
+        run = sources[k]
+        s, owner, start = run.string, held[k].owners[run.k], held[k].starts[run.k]
+        if h == len(s) == len(before):
+            if (owner, start) < (owners[-1], starts[-1]):
+                gone.append((owners[-1], starts[-1], starts[-1] + len(s) - 8))
+                owners[-1], starts[-1] = owner, start
+            elif (owner, start) > (owners[-1], starts[-1]):
+                gone.append((owner, start, start + len(s) - 8))
+            continue
+        if r < len(bounds) and s >= bounds[r]:
+            if lengths:
+                yield r, Sorted(shared, lengths, b"".join(rests), owners, starts)
+                shared, lengths, rests, owners, starts = [], [], [], [], []
+            r = bisect_right(bounds, s)
+        if not lengths:
+            h = 0
+        shared.append(h)
+        lengths.append(len(s))
+        rests.append(s[h:])
+        owners.append(owner)
+        starts.append(start)
+        before = s
+    if lengths:
+        yield r, Sorted(shared, lengths, b"".join(rests), owners, starts)
+
+
+def _sorted_runs(width: int, gram: int, ranges: int, bloom, hot: np.ndarray):
     schema = pa.schema([("r", pa.int32()), ("shared", pa.binary()), ("lengths", pa.binary()), ("rests", pa.binary()), ("doc", pa.binary()), ("lo", pa.binary()), ("known", pa.binary())])
-    bounds = np.array([k * (1 << 64) // ranges for k in range(1, ranges)], U)
+    bounds = [(k * (1 << 64) // ranges).to_bytes(8, "big") for k in range(1, ranges)]
+
+    def sorted_chunk(ids: np.ndarray, texts: list[bytes], starts: list[np.ndarray | None]) -> Sorted:
+        doc, lo, hi, key = chunk_runs(texts, width, gram)
+        if bloom is None:
+            base = np.cumsum([0, *(len(t) for t in texts)])
+            take = np.isin(base[doc] + lo, np.concatenate([b + s for b, s in zip(base, starts, strict=False)]))
+        else:
+            bits = np.frombuffer(bloom.value, np.uint8)
+            take = np.ones(len(key), bool)
+            for place in bloom_places(key, (len(bits) * 8).bit_length() - 1):
+                take &= (bits[(place >> U(3)).astype(np.int64)] >> (place & U(7)).astype(np.uint8) & 1).astype(bool)
+        doc, lo, hi, key = doc[take], lo[take], hi[take], key[take]
+        is_hot = np.isin(key, hot)
+        if is_hot.any():  # each string of a hot anchor goes by a hash of its own
+            own = np.flatnonzero(is_hot)
+            parts = [texts[d][a:b] for d, a, b in zip(doc[own].tolist(), lo[own].tolist(), (hi[own] + width).tolist(), strict=True)]
+            many = hi[own] - lo[own] + 1
+            begin = np.cumsum(many + width - 1) - (many + width - 1)
+            step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            h, _ = window_hashes(b"".join(parts), np.repeat(begin, many) + step, width)
+            start = np.repeat(lo[own], many) + step
+            cold = ~is_hot
+            doc, lo, hi, key = (np.concatenate(p) for p in ((doc[cold], np.repeat(doc[own], many)), (lo[cold], start), (hi[cold], start), (key[cold], h * MIX[2])))
+        heads = key.astype(">u8").tobytes()
+        strings = [heads[8 * k : 8 * k + 8] + texts[d][a:b] for k, (d, a, b) in enumerate(zip(doc.tolist(), lo.tolist(), (hi + width).tolist(), strict=True))]
+        order = sorted(range(len(strings)), key=strings.__getitem__)
+        strings = [strings[k] for k in order]
+        shared, rests = front_code(strings)
+        return Sorted(shared.tolist(), [len(s) for s in strings], rests, ids[doc[order]].tolist(), lo[order].tolist())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1).compress
-        for ids, texts, starts in chunks(batches, min(CHUNK_MOST, max(CHUNK, CHUNK_BY_RANGE * ranges))):
-            doc, lo, hi, key = chunk_runs(texts, width, gram)
-            if bitmap is None:
-                base = np.cumsum([0, *(len(t) for t in texts)])
-                take = np.isin(base[doc] + lo, np.concatenate([b + s for b, s in zip(base, starts, strict=False)]))
-            else:
-                bits = np.frombuffer(bitmap.value, np.uint8)
-                place = key >> U(64 - (len(bits) * 8).bit_length() + 1)
-                take = (bits[(place >> U(3)).astype(np.int64)] >> (place & U(7)).astype(np.uint8) & 1).astype(bool)
-            doc, lo, hi, key = doc[take], lo[take], hi[take], key[take]
-            is_hot = np.isin(key, hot)
-            if is_hot.any():  # each string of a hot anchor goes by a hash of its own
-                own = np.flatnonzero(is_hot)
-                parts = [texts[d][a:b] for d, a, b in zip(doc[own].tolist(), lo[own].tolist(), (hi[own] + width).tolist(), strict=True)]
-                many = hi[own] - lo[own] + 1
-                begin = np.cumsum(many + width - 1) - (many + width - 1)
-                step = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                h, _ = window_hashes(b"".join(parts), np.repeat(begin, many) + step, width)
-                start = np.repeat(lo[own], many) + step
-                cold = ~is_hot
-                doc, lo, hi, key = (np.concatenate(p) for p in ((doc[cold], np.repeat(doc[own], many)), (lo[cold], start), (hi[cold], start), (key[cold], h * MIX[2])))
-            heads = key.astype(">u8").tobytes()
-            strings = [heads[8 * k : 8 * k + 8] + texts[d][a:b] for k, (d, a, b) in enumerate(zip(doc.tolist(), lo.tolist(), (hi + width).tolist(), strict=True))]
-            owner = ids[doc]
-            order = sorted(range(len(strings)), key=strings.__getitem__)
-            keep, repeats, before = [], [], None
-            owners, los = owner.tolist(), lo.tolist()
-            for k in order:
-                s = strings[k]
-                if s == before:
-                    best = keep[-1]
-                    a, b = (owners[k], los[k]), (owners[best], los[best])
-                    if a < b:
-                        keep[-1] = k
-                        repeats.append(best)
-                    elif a > b:
-                        repeats.append(k)
-                else:
-                    keep.append(k)
-                    before = s
-            gone = np.array(repeats, np.int64)
-            known = np.stack(united(owner[gone], lo[gone], hi[gone] + width)).astype(np.int64).tobytes()
-            kept = np.array(keep, np.int64)
-            cuts = np.searchsorted(key[kept], bounds, side="left").tolist()
-            rows = []
-            for r, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(keep)], strict=True)):
-                if a == b and not (r == 0 and known):
-                    continue
-                part = [strings[k] for k in keep[a:b]]
-                shared, rests = front_code(part)
-                lengths = np.array([len(s) for s in part], np.int32)
-                at = kept[a:b]
-                rows.append((r, squeeze(shared.tobytes()), squeeze(lengths.tobytes()), squeeze(rests), squeeze(owner[at].tobytes()), squeeze(lo[at].tobytes()), squeeze(known) if r == 0 else None))
+
+        def dealt(held: list[Sorted]) -> Iterator[pa.RecordBatch]:
+            gone: list[tuple[int, int, int]] = []
+            rows: list[tuple] = []
+            size = 0
+            for r, part in local_merge(held, bounds, gone):
+                rows.append((r, *(squeeze(np.array(c, np.int32).tobytes()) for c in (part.shared, part.lengths)), squeeze(part.rests), *(squeeze(np.array(c, np.int64).tobytes()) for c in (part.owners, part.starts)), None))
+                size += len(rows[-1][3])
+                if size >= CHUNK:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+                    rows, size = [], 0
+            if gone:  # any range may report them
+                known = np.stack(united(*(np.array(c, np.int64) for c in zip(*gone, strict=True)))).tobytes()
+                rows.append((zlib.crc32(known) % ranges, *[None] * 5, squeeze(known)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
+        held: list[Sorted] = []
+        size = 0
+        for ids, texts, starts in chunks(batches):
+            held.append(sorted_chunk(ids, texts, starts))
+            size += len(held[-1].rests) + 150 * len(held[-1].shared)  # about what its lists take
+            if size >= HELD:
+                yield from dealt(held)
+                held, size = [], 0
+        if held:
+            yield from dealt(held)
+
     return run, "r int, shared binary, lengths binary, rests binary, doc binary, lo binary, known binary"
 
 
@@ -388,6 +447,7 @@ def _merged(width: int):
         for row in table.select(["shared", "lengths", "rests", "doc", "lo", "known"]).to_pylist():
             if row["known"]:
                 out.append(tuple(np.frombuffer(plain(row["known"]), np.int64).reshape(3, -1)))
+                continue
             sources.append(Run(*(np.frombuffer(plain(row[c]), np.int32).tolist() for c in ("shared", "lengths")), plain(row["rests"])))
             docs.append(np.frombuffer(plain(row["doc"]), np.int64).tolist())
             los.append(np.frombuffer(plain(row["lo"]), np.int64).tolist())
@@ -435,24 +495,41 @@ def _merged(width: int):
     return run, "doc long, start long, end long"
 
 
+def keyed(docs: DataFrame, key: str) -> DataFrame:
+    """docs with the column `key`: the document of a row, in the order of documents."""
+    ids, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text"), F.lit(""))
+    own = F.lit(LATER).bitwiseOR(F.xxhash64(ids, text).bitwiseAND(F.lit(LATER - 1)))
+    hashes = docs.filter("doc_id IS NOT NULL").select(ids.alias("id"), F.xxhash64(text).alias("h"))
+    several = settled(hashes.groupBy("id").agg(F.min("h").alias("least"), F.max("h").alias("most")).filter("least <> most").select("id", "least"))
+    if several.isEmpty():
+        return docs.withColumn(key, F.coalesce(ids, own))
+    its_id, least = fresh(docs, "its_id", "least")
+    joined = docs.join(several.select(F.col("id").alias(its_id), F.col("least").alias(least)), ids == F.col(its_id), "left")
+    return joined.withColumn(key, F.when(F.col(least) != F.xxhash64(text), own).otherwise(F.coalesce(ids, own))).drop(its_id, least)
+
+
 def spans(docs: DataFrame, width: int = 100, gram: int = 32, filter_bits: int = FILTER_BITS, hot_least: int = HOT_LEAST) -> DataFrame:
-    """(doc, spans) of the documents that lose bytes: spans is an array of (start, end) in bytes, which may overlap."""
-    spark = docs.sparkSession
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    """(doc, spans) of the documents that lose bytes: spans is an array of (start, end) in bytes, which may overlap. doc is of keyed()."""
+    return _spans(keyed(docs.select("doc_id", "text"), "key").select("key", "text"), width, gram, filter_bits, hot_least)
+
+
+def _spans(rows: DataFrame, width: int = 100, gram: int = 32, filter_bits: int = FILTER_BITS, hot_least: int = HOT_LEAST) -> DataFrame:
+    spark = rows.sparkSession
+    rows = rows.select(F.col("key").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     counts = rows.mapInArrow(_count(width, gram), "kh long, n long, kinds long").groupBy("kh").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")).filter("n > 1")
     counts = settled(counts)
     total, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    # At most HOT_SHARE anchors are hot, and the bitmap is of fixed size: what the driver gathers is bounded.
+    # At most HOT_SHARE anchors are hot, and the filter is of fixed size: what the driver gathers is bounded.
     most = max(hot_least, total // HOT_SHARE)
     hot = np.array([r.kh for r in counts.filter(F.col("kinds") > most).select("kh").collect()], np.int64).view(U)
     ranges = max(1, -(-total // RANGE_ROWS))
-    if 8 * kinds <= 1 << filter_bits:  # one bit in eight is set at most
-        place = F.shiftrightunsigned("kh", 64 - filter_bits) + 1
-        bitmap = np.zeros(1 << (filter_bits - 3), np.uint8)
-        for page in counts.groupBy(F.bitmap_bucket_number(place).alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits")).collect():
+    if BITS_EACH * kinds <= 1 << filter_bits:
+        bits = np.zeros(1 << (filter_bits - 3), np.uint8)
+        place = F.explode(F.array(*(F.shiftrightunsigned(F.shiftleft("kh", min(skip, 64 - filter_bits)), 64 - filter_bits) + 1 for skip in SKIPPED)))
+        for page in counts.select(place.alias("place")).groupBy(F.bitmap_bucket_number("place").alias("page")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits")).collect():
             at = (page.page - 1) * 4096
-            bitmap[at : at + 4096] |= np.frombuffer(page.bits, np.uint8)[: len(bitmap) - at]
-        sorted_runs, schema = _sorted_runs(width, gram, ranges, spark.sparkContext.broadcast(bitmap.tobytes()), hot)
+            bits[at : at + 4096] |= np.frombuffer(page.bits, np.uint8)[: len(bits) - at]
+        sorted_runs, schema = _sorted_runs(width, gram, ranges, spark.sparkContext.broadcast(bits.tobytes()), hot)
         marked = rows
     else:
         found = rows.mapInArrow(_positions(width, gram), "kh long, doc_id long, lo long").join(counts.select("kh"), "kh")
@@ -479,9 +556,12 @@ def kept_bytes(data: bytes, found: list[tuple[int, int]]) -> tuple[bytes, int, i
     return b"".join(parts), removed, many
 
 
-def _join(docs: DataFrame, found: DataFrame) -> DataFrame:
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))
-    return docs.join(found.withColumnsRenamed({"doc": "__doc", "spans": "__spans"}), key == F.col("__doc"), "left")
+def _with_spans(docs: DataFrame, how: dict[str, int]) -> tuple[DataFrame, str]:
+    """docs with a column of their spans, and its name."""
+    key, doc, found = fresh(docs, "key", "doc", "spans")
+    rows = keyed(docs, key)
+    lost = _spans(rows.select(F.col(key).alias("key"), "text"), **how)
+    return rows.join(lost.select(F.col("doc").alias(doc), F.col("spans").alias(found)), F.col(key) == F.col(doc), "left"), found
 
 
 def digests(docs: DataFrame, **how: int) -> DataFrame:
@@ -499,7 +579,8 @@ def digests(docs: DataFrame, **how: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return _join(rows, spans(docs, **how)).select("doc_id", "text", "__spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    joined, found = _with_spans(rows, how)
+    return joined.select("doc_id", "text", found).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def remove(docs: DataFrame, **how: int) -> DataFrame:
@@ -512,4 +593,5 @@ def remove(docs: DataFrame, **how: int) -> DataFrame:
             out.append(t if t is None or f is None else kept_bytes(t.encode(), [(s["start"], s["end"]) for s in f])[0].decode("utf-8", "ignore"))
         return type(text)(out, dtype=object)
 
-    return _join(docs, spans(docs, **how)).withColumn("text", rest("text", "__spans")).select(*docs.columns)
+    joined, found = _with_spans(docs, how)
+    return joined.withColumn("text", rest("text", found)).select(*docs.columns)

@@ -50,8 +50,8 @@ def passages(seed, n=120):
 
 
 @pytest.mark.parametrize("seed", range(4))
-@pytest.mark.parametrize("how", [{}, {"hot_least": 3, "filter_bits": 16}, {"filter_bits": 12}])
-def test_planted_passages(spark, seed, how, monkeypatch):
+@pytest.mark.parametrize("how", [{"filter_bits": 20}, {"hot_least": 3, "filter_bits": 16}, {"filter_bits": 12}])
+def test_planted_passages(spark, seed, how):
     docs = documents(spark, passages(seed)).repartition(5)
     rows = verify(docs, **how)
     assert sum(r[1] for r in rows.values()) > 1000
@@ -61,6 +61,7 @@ def test_many_chunks_and_slices(spark, monkeypatch):
     texts = passages(9, 60) + ["long " + "".join(random.Random(3).choices("abc ", k=30_000))] * 2
     for small in ("CHUNK", "SLICE"):
         monkeypatch.setattr(suffixes, small, 700)
+    monkeypatch.setattr(suffixes, "HELD", 20_000)
     import numpy as np
 
     ids, doc_spans = np.arange(len(texts)), []
@@ -71,6 +72,7 @@ def test_many_chunks_and_slices(spark, monkeypatch):
     bitmap = type("B", (), {"value": b"\xff" * 4096})
     run, _ = suffixes._sorted_runs(100, 32, 3, bitmap, np.zeros(0, np.uint64))
     rows = [r for b in run(batches) for r in b.to_pylist()]
+    assert len({r["r"] for r in rows if r["known"]}) > 1  # no range has all known repeats
     merged, _ = suffixes._merged(100)
     for r in sorted({x["r"] for x in rows}):
         schema = pa.schema([("r", pa.int32()), *((c, pa.binary()) for c in ("shared", "lengths", "rests", "doc", "lo", "known"))])
@@ -115,3 +117,29 @@ def test_remove_and_empty(spark):
     rows = {r.doc_id: r.text for r in suffixes.remove(docs).collect()}
     assert rows == {0: text, 1: "new  end", 2: None}
     assert suffixes.digests(docs.limit(0)).count() == 0
+
+
+def test_repeated_ids_null_ids_and_clashing_names(spark):
+    """One id with two texts, and several texts without an id, are documents of their own."""
+    rng = random.Random(4)
+    a, b, c = ("".join(rng.choices("abcdefgh ", k=300)) for _ in range(3))
+    rows = [(5, "x" + a + a, "0"), (5, b * 2, "1"), (5, b * 2, "2"), (None, c, "3"), (None, "y" + c, "4"), (None, None, "5"), (7, "z", "6")]
+    names = ("__spans", "__doc", "key", "doc", "spans", "its_id", "least")
+    docs = spark.createDataFrame([(d, t, *[k] * len(names)) for d, t, k in rows], "doc_id long, text string, " + ", ".join(f"`{n}` string" for n in names))
+    kept = suffixes.remove(docs)
+    assert kept.columns == docs.columns
+    got = {r.key: r.text for r in kept.collect()}
+    assert got["0"] == "x" + a and got["1"] == got["2"] == b and got["5"] is None and got["6"] == "z"
+    assert sorted([got["3"], got["4"]], key=len) in ([c, "y"], ["y", c], ["", "y" + c])
+    assert suffixes.digests(docs).count() == 7
+
+
+def test_filter_places_agree(spark):
+    """The filter's places by SQL and by numpy."""
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    keys = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 50)
+    for bits in (16, 29):
+        row = spark.createDataFrame([(int(k),) for k in keys], "kh long").select(*(F.shiftrightunsigned(F.shiftleft("kh", min(skip, 64 - bits)), 64 - bits) for skip in suffixes.SKIPPED)).collect()
+        assert [list(map(int, c)) for c in zip(*row, strict=True)] == [p.astype(np.int64).tolist() for p in suffixes.bloom_places(keys.view(np.uint64), bits)]
