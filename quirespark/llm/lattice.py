@@ -32,8 +32,8 @@ from quirespark.llm.common import Scratch, settled
 
 #: Distinct words that a task counts before it sends them on; the word that stands for a text's end (no word has a line break).
 HELD, END = 200_000, "\n"
-#: Rare words of an output batch, about.
-SENT = 50_000
+#: Rare words of an output batch, about, each sixteen bytes of one; bytes of words that a task counts; bytes of a word that is broadcast at most.
+SENT, HELD_BYTES, SHORT = 50_000, 32 << 20, 256
 SPACE = "▁"
 
 
@@ -109,7 +109,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, n) of training rows, and of the others with n = 0 so that each word is in the table."""
     schema = pa.schema([("word", pa.string()), ("n", pa.int64())])
     seen: dict[bool, Counter] = {True: Counter(), False: Counter()}
-    ends = 0
+    ends = size = 0
 
     def counted() -> pa.RecordBatch:
         train, held = seen[True], seen[False]
@@ -122,11 +122,13 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for text, held in zip(*batch.columns, strict=True):
-            held = held.as_py()
-            seen[not held].update(tokens(text.as_py()))
+            held, found = held.as_py(), tokens(text.as_py())
+            seen[not held].update(found)
             ends += not held
-            if len(seen[True]) + len(seen[False]) > HELD:
+            size += sum(len(w) for w in found if len(w) > SHORT)
+            if len(seen[True]) + len(seen[False]) > HELD or size > HELD_BYTES:
                 yield counted()
+                size = 0
     yield counted()
     yield pa.RecordBatch.from_arrays([pa.array([END]), pa.array([ends], pa.int64())], schema=schema)
 
@@ -184,7 +186,7 @@ def _score_rows(frequent):
                 k = np.array(at)
                 out.append((row, doc_id.as_py(), held.as_py(), len(found) + 1, int(known[k].sum()), float(base[k].sum()), float(lattice[k].sum()), [{"word": w.decode(), "times": n} for w, n in rare.items()]))
                 row += 1
-                size += 10 + len(rare)
+                size += 10 + len(rare) + sum(map(len, rare)) // 16
                 if size >= SENT:
                     yield made()
                     out, size = [], 0
@@ -211,20 +213,22 @@ def score(docs: DataFrame, model_path: str, frequent: int = 1 << 17, smoothing:
         scratch.drop("words")
         # Words by the octave of their count, and from the top as many octaves as stay within `frequent` words.
         octave = F.floor(F.log2(F.col("n") + 1) * 16)
+        # Longer words are never among them, so that what is broadcast is at most `frequent` times SHORT bytes.
+        short = F.octet_length("word") <= SHORT
         least, room = math.inf, frequent
-        for r in scored.groupBy(octave.alias("octave")).count().orderBy(F.desc("octave")).collect():
+        for r in scored.filter(short).groupBy(octave.alias("octave")).count().orderBy(F.desc("octave")).collect():
             room -= r["count"]
             if room < 0:
                 break
             least = r.octave
-        top = scored.filter((octave >= float(least)) & (F.col("word") != END)).unionByName(scored.filter(F.col("word") == END)).collect()
+        top = scored.filter(short & (octave >= float(least)) & (F.col("word") != END)).unionByName(scored.filter(F.col("word") == END)).collect()
         if not any(r.word == END for r in top):
             top = [*top, type("End", (), {"word": END, "n": 0, "logp": 0.0})]
         n = np.array([r.n for r in top], np.float64)
         held_top = spark.sparkContext.broadcast(([r.word.encode() for r in top], n > 0, np.log10(n + 1), np.array([r.logp for r in top])))
         texts = scratch.keep(rows.mapInArrow(_score_rows(held_top), ROWS_SQL), "texts")
         rare = texts.select("row", F.explode("rare").alias("w")).select("row", "w.word", "w.times")
-        joined = rare.join(scored.filter(octave < float(least)), "word").groupBy("row").agg(
+        joined = rare.join(scored.filter((octave < float(least)) | ~short), "word").groupBy("row").agg(
             F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more_known"), F.sum(F.col("times") * F.log10(F.col("n") + 1)).alias("more_base"), F.sum(F.col("times") * F.col("logp")).alias("more_lattice")
         )
         zero = F.lit(0.0)

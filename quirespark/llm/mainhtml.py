@@ -2,11 +2,15 @@
 
 A page is a sequence of words and tags. Words score positive and tags negative, by weights learned from labelled pages:
 the log odds of a word (by the element that holds it) or a tag to lie in the article. One linear scan finds
-the contiguous region of greatest score, and its text is the page's main text, without the elements that are
-no article wherever they stand (menus, adverts, forms, comments and the like, by element, role or class).
+the contiguous region of greatest score, and its text is the page's main text.
+
+Within the region some elements are no article: menus, adverts, forms, comments and the like. A name (element, role, class)
+only makes an element a candidate. It is left out if its name says nothing else and it doesn't hold the bulk of
+the page's prose; where the name says other things too ("legal-news", "ad-free"), if its own words and tags
+score less than a paragraph of LEAST words.
 
 Labelled pages are those that mark their article with an article or main element; weights are counted on at most
-`rows` of them (least hash of page_id) on top of the fixed counts below, which hold for pages that mark nothing.
+`rows` of them (least hash of page_id). The fixed counts below are used for kinds of words and tags that these don't show.
 
 Defined results: a null or empty page has an empty text; a page without words in its region too; equal rows get
 equal texts; an empty table gives no rows; columns other than page_id, url and html are ignored.
@@ -16,6 +20,7 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from html import unescape
@@ -39,6 +44,10 @@ FOREIGN = frozenset("comment comments commentlist disqus respond reply replies d
 SEEN = {"w:p": (400, 40), "w:h1": (30, 10), "w:h2": (30, 10), "w:h3": (20, 10), "w:blockquote": (30, 5), "w:pre": (30, 5), "w:li": (40, 15), "w:td": (30, 15), "w:div": (60, 60), "w:section": (40, 40), "w:article": (60, 10), "w:a": (5, 40), "w:hint": (1, 80), "t:p": (60, 20), "t:br": (20, 10), "t:div": (10, 40), "t:h1": (20, 10), "t:h2": (20, 10), "t:h3": (20, 10), "t:ul": (20, 10), "t:ol": (20, 10), "t:li": (20, 10), "t:blockquote": (20, 10), "t:pre": (20, 10), "t:table": (20, 15), "t:tr": (20, 15), "t:td": (20, 15), "t:b": (20, 10), "t:i": (20, 10), "t:em": (20, 10), "t:strong": (20, 10), "t:span": (20, 20), "t:a": (10, 20), "t:hint": (1, 40), "t:article": (1, 20), "t:main": (1, 20), "t:body": (1, 20)}
 #: Parts of names that tell of a page's layout, not of the element ("has-sidebar").
 ABOUT = frozenset("no not has with without".split())
+#: Parts of names that say where or how an element stands, and leave the meaning to the other parts.
+NEUTRAL = frozenset("a all area article bar block blocks body bottom box btn button buttons center column container content control entry fixed form global group header inner item items left link links list main middle mini outer page panel post primary right row secondary section site slot small story sticky sub the top unit wide wrap wrapper ui".split())
+#: Elements that hold whole pages at times; shares of the page's prose that make one, or an element with a telling name, a wrapper; words.
+HOLDERS, HALF, BULK, LEAST = frozenset("form fieldset label button dialog menu header".split()), 0.5, 0.8, 30
 ATTRIBUTES = r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*"
 #: Without an end tag only a script, a style or a text area goes on to the end of the page; svg and math may be empty.
 TOKEN = re.compile(
@@ -59,54 +68,84 @@ class Part(NamedTuple):
     marked: bool
 
 
-def _hints(attributes: str) -> set[str]:
-    if "=" not in attributes:
-        return set()
-    out: set[str] = set()
-    for m in ATTRIBUTE.finditer(attributes):
-        for name in (m[2] or m[3] or m[4] or "").split():
-            named = {p.lower() for p in PARTS.findall(name)}
-            if not named & ABOUT:
-                out |= named
-    return out
+class Name(NamedTuple):
+    """What class, id and role say. telling: a hint and nothing else; vague: a hint among other words; foreign: of others' articles."""
+
+    telling: bool = False
+    vague: bool = False
+    foreign: bool = False
+
+
+def named(attributes: str) -> Name:
+    telling = vague = foreign = False
+    if "=" in attributes:
+        for m in ATTRIBUTE.finditer(attributes):
+            for token in (m[2] or m[3] or m[4] or "").split():
+                words = {p.lower() for p in PARTS.findall(token)}
+                hints = words & (HINTS | FOREIGN)
+                if not hints or words & ABOUT:
+                    continue
+                if words - hints <= NEUTRAL:
+                    telling = True
+                    foreign = foreign or bool(hints & FOREIGN)
+                else:
+                    vague = True
+    return Name(telling, vague, foreign)
+
+
+class Candidate(NamedTuple):
+    """An element that may be no article, from one part to before another."""
+
+    first: int
+    end: int
+    element: str
+    name: Name
 
 
-def parts(html: str) -> list[Part]:
-    """The page's texts and tags in order. Elements need no end tags: one that is no article ends with its own end tag, or, for a paragraph or list item, with the next block."""
+def _sequence(html: str) -> tuple[list[Part], list[Candidate], list[bool]]:
+    """The page's texts and tags in order, the elements that may be no article, and whether a part is of a heading of the article.
+
+    An element ends with its own end tag, a paragraph or list item with the next block, or else with the page.
+    """
     out: list[Part] = []
+    heads: list[bool] = []
+    opened: dict[str, list[int]] = {}  # by name, the open elements: a candidate's place, or -1
+    found: list[list] = []
+    loose: list[int] = []  # candidates that the next block ends
     block, link = "body", 0
-    away, depth, foreign = "", 0, False  # the element that is no article in which we are, and how often it is nested
     marked = heading = 0
     for m in TOKEN.finditer(html):
         name = m[4]
         if name is None:
-            s = m[0]
-            if s[0] != "<" or s == "<":
-                words = len(s.split())
-                kind = "w:hint" if away else "w:a" if link else "w:" + block
-                header = away == "header" and marked and heading
-                out.append(Part("w:" + block if header else kind, words, s, bool(header) or not away, bool(marked)))
-            elif m[1] and not away:
+            text = m[0]
+            if text[0] != "<" or text == "<":
+                out.append(Part("w:a" if link else "w:" + block, len(text.split()), text, True, bool(marked)))
+                heads.append(bool(marked and heading))
+            elif m[1]:
                 out.append(Part("t:raw", 0, " ", True, bool(marked)))
+                heads.append(False)
             continue
         name, closing = name.lower(), bool(m[3])
         is_block = name in BLOCKS
-        if away in ("p", "li") and is_block and not (closing and name == away):
-            away, depth = "", 0
-        if away:
-            if name == away and name not in VOID:
-                depth += -1 if closing else 1
-                if not depth:
-                    away, foreign = "", False
-            elif name in MARKED and not closing and not foreign and away not in NOT_ARTICLE and not _hints(m[5]) & FOREIGN:
-                away, depth = "", 0  # a wrapper with a misleading name
-        elif not closing and name not in ("html", "head", "body"):
-            hints = _hints(m[5])
-            foreign = bool(hints & FOREIGN)
-            if name in NOT_ARTICLE or name == "header" or foreign or (hints & HINTS and name not in MARKED and name not in HEADINGS):
-                if name not in VOID and name not in RAW:  # here a raw element has no end tag
-                    away, depth = name, 1
-        if name in MARKED and not (away and foreign):
+        if is_block and loose:
+            for c in loose:
+                if found[c][1] is None:
+                    found[c][1] = len(out) + (closing and name == found[c][2])
+            loose.clear()
+        its = Name()
+        if closing:
+            if opened.get(name) and (c := opened[name].pop()) >= 0 and found[c][1] is None:
+                found[c][1] = len(out) + 1
+        elif name not in VOID and name not in RAW and name not in ("html", "head", "body"):  # here a raw element has no end tag
+            its = named(m[5])
+            c = -1
+            if name in NOT_ARTICLE or name == "header" or its.foreign or ((its.telling or its.vague) and name not in MARKED and name not in HEADINGS):
+                c = len(found)
+                found.append([len(out), None, name, its])
+                if name in ("p", "li"):
+                    loose.append(c)
+            opened.setdefault(name, []).append(c)
+        if name in MARKED and not its.foreign:
             marked = max(0, marked + (-1 if closing else 1))
         if name in HEADINGS:
             heading = 0 if closing else 1
@@ -116,22 +155,64 @@ def parts(html: str) -> list[Part]:
             link = 0
             if name != "br":
                 block = "body" if closing else name
-        out.append(Part("t:hint" if away else "t:" + name, 0, " " if is_block else "", True, bool(marked) and not (name in MARKED)))
+        out.append(Part("t:" + name, 0, " " if is_block else "", True, bool(marked) and name not in MARKED))
+        heads.append(False)
+    return out, [Candidate(a, len(out) if b is None else b, e, n) for a, b, e, n in found], heads
+
+
+def parts(html: str, weights: dict[str, float] | None = None) -> list[Part]:
+    """The page's texts and tags in order; those in elements that are no article aren't shown, and are of the kind `hint`."""
+    weights = weights or weights_of({})
+    out, candidates, heads = _sequence(html)
+    if not candidates:
+        return out
+    prose, links, value = [0], [0], [0.0]
+    marks = [k for k, p in enumerate(out) if p.kind in ("t:article", "t:main") and p.kind[2:] in MARKED]
+    for p in out:
+        word = p.words > 0
+        prose.append(prose[-1] + (p.words if word and p.kind != "w:a" else 0))
+        links.append(links[-1] + (p.words if word and p.kind == "w:a" else 0))
+        value.append(value[-1] + score(p, weights))
+    least = LEAST * weights.get("w:p", weights["w:"])
+    until = 0
+    for first, end, element, name in candidates:
+        if first < until:
+            continue
+        foreign = name.foreign
+        own = prose[end] - prose[first]
+        if element not in NOT_ARTICLE and element != "header" and not name.telling:  # a vague name: its words decide
+            if value[end] - value[first] >= least and own > links[end] - links[first]:
+                continue
+        elif not foreign and own >= LEAST and own > (HALF if element in HOLDERS and not name.telling else BULK) * prose[-1] and element not in ("nav", "footer", "aside"):
+            continue  # a wrapper of the page
+        if not foreign and (element not in NOT_ARTICLE) and (at := bisect_right(marks, first)) < len(marks) and marks[at] < end:
+            end = marks[at]  # a wrapper with a misleading name
+        for k in range(first, end):
+            p = out[k]
+            if p.kind[0] == "t":
+                out[k] = p._replace(kind="t:hint", shown=True)
+            elif not (element == "header" and heads[k]):
+                out[k] = p._replace(kind="w:hint", shown=False)
+        if element not in ("p", "li") and end < len(out) and out[end - 1].kind == "t:hint":
+            out[end - 1] = out[end - 1]._replace(text=" " if element in BLOCKS else out[end - 1].text)
+        until = end
     return out
 
 
+def score(p: Part, weights: dict[str, float]) -> float:
+    """What a part adds to a region."""
+    if p.words:
+        return weights.get(p.kind, weights["w:"]) * p.words
+    return weights.get(p.kind, weights["t:"]) if p.kind[0] == "t" else 0.0
+
+
 def main_text(html: str | None, weights: dict[str, float]) -> str:
     """The text of the region of greatest score; the first one of equal ones."""
-    found = parts(html or "")
+    found = parts(html or "", weights)
     best = total = 0.0
     start = a = b = 0
-    default_tag, default_word = weights["t:"], weights["w:"]
-    get = weights.get
     for k, p in enumerate(found):
-        if p.words:
-            total += get(p.kind, default_word) * p.words
-        elif p.kind[0] == "t":
-            total += get(p.kind, default_tag)
+        total += score(p, weights)
         if total <= 0:
             total, start = 0.0, k + 1
         elif total > best:
@@ -140,10 +221,9 @@ def main_text(html: str | None, weights: dict[str, float]) -> str:
 
 
 def weights_of(counts: dict[str, tuple[float, float]]) -> dict[str, float]:
-    """Log odds of the counts (inside, outside) by kind: positive for words, negative for tags."""
-    kinds = {k: (SEEN.get(k, (0, 0))[0] + counts.get(k, (0, 0))[0], SEEN.get(k, (0, 0))[1] + counts.get(k, (0, 0))[1]) for k in {*SEEN, *counts}}
+    """Log odds of the counts (inside, outside) by kind: positive for words, negative for tags. SEEN has those of kinds without counts."""
     out = {"w:": 0.5, "t:": -1.0}
-    for kind, (inside, outside) in kinds.items():
+    for kind, (inside, outside) in {**SEEN, **counts}.items():
         odds = math.log((inside + 1) / (outside + 1))
         out[kind] = max(0.01, odds) if kind[0] == "w" else min(-0.05, odds)
     return out

@@ -4,7 +4,11 @@ write() wraps a payload of whole access units into a transport stream of 188-byt
 association table, a program map table, and packetised elementary stream packets with a presentation time stamp
 each. The first packet of every eighth group is marked as a random-access point and carries a clock reference.
 read() parses the tables, checks the continuity counter of every stream, reassembles the elementary packets and
-returns the payload with its time stamps and random-access points. Lost or doubled packets are counted.
+returns the payload with its time stamps and random-access points. Lost packets (by the counters, but where the stream
+itself tells of a discontinuity), doubled ones (equal bytes) and broken ones (no sync byte, or an elementary packet
+shorter than it says) are counted.
+
+round_trip() writes the media column to the shared folder as Parquet and reads it back from there.
 
 Defined results: a null or empty text is one unit of padding; equal texts give equal streams; an empty table gives no
 rows; columns other than the id and the text are ignored.
@@ -23,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quirespark.llm.common import Scratch, settled
+
 #: Fixed values of the format: packet size, sync byte, identifiers, stream type (private data) and stream id.
 PACKET, SYNC, PAT_PID, PMT_PID, DATA_PID, PROGRAM = 188, 0x47, 0x0000, 0x1000, 0x0100, 1
 STREAM_TYPE, STREAM_ID = 0x06, 0xBD
@@ -170,12 +176,13 @@ def read(media: bytes) -> Stream:
         own = p[pids == pid]
         has_data = (own[:, 3] & 0x10) > 0
         own = own[has_data]
-        counters = own[:, 3] & 15
-        step = (counters[1:].astype(int) - counters[:-1]) % 16
-        doubles = np.append(False, step == 0)
+        doubles = np.append(False, (own[1:] == own[:-1]).all(axis=1))[: len(own)]  # a packet may be sent twice, byte by byte
         found.doubled += int(doubles.sum())
-        found.lost += int(((step - 1) % 16)[step != 0].sum())
         own = own[~doubles]
+        counters = own[:, 3] & 15
+        step = (counters[1:].astype(int) - counters[:-1]) % 16
+        told = (own[1:, 3] & 0x20 > 0) & (own[1:, 4] > 0) & (own[1:, 5] & 0x80 > 0)  # a discontinuity that the stream tells of
+        found.lost += int(((step - 1) % 16)[~told].sum())
         lead = np.where(own[:, 3] & 0x20, own[:, 4].astype(int) + 1, 0)
         firsts = np.flatnonzero(own[:, 1] & 0x40)
         for k, begin in enumerate(firsts.tolist()):
@@ -190,6 +197,7 @@ def read(media: bytes) -> Stream:
                 found.broken += 1
                 continue
             size = int.from_bytes(data[4:6], "big")
+            found.broken += len(data) < 6 + size  # cut short, though the counters may not tell
             stamp = None
             if data[7] & 0x80:
                 t = data[9:14]
@@ -265,8 +273,9 @@ def decode(media: DataFrame) -> DataFrame:
     return media.select(F.col("id").cast("long").alias("id"), "media").mapInArrow(run, "id long, payload binary, stamps array<long>, random_access array<struct<packet long, pts long>>, lost long, doubled long, broken long")
 
 
-DIGEST = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())])
-DIGEST_SQL = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+POINTS = pa.list_(pa.struct([("packet", pa.int64()), ("pts", pa.int64())]))
+DIGEST = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("stamps", pa.list_(pa.int64())), ("random_access", POINTS)])
+DIGEST_SQL = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, stamps array<long>, random_access array<struct<packet long, pts long>>"
 
 
 def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,7 +285,7 @@ def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, n, m in zip(*batch.columns, strict=True):
             media = m.as_py()
             s = read(media)
-            rows.append((i.as_py(), n.as_py(), len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(s)))
+            rows.append((i.as_py(), n.as_py(), len(s.payload), hashlib.sha256(s.payload).hexdigest(), zlib.crc32(s.payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(s), s.stamps, [{"packet": a, "pts": t} for a, t in s.random_access]))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), DIGEST, strict=True)], schema=DIGEST)
 
@@ -287,5 +296,6 @@ def digests(media: DataFrame) -> DataFrame:
 
 
 def round_trip(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """digests(encode(docs)) in one pass: each small batch is stored and read back before the next, so media aren't sent between processes."""
-    return docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text")).mapInArrow(lambda batches: _digested(_encoded(batches)), DIGEST_SQL)
+    """digests() of the media column of docs, which is kept in the shared folder while it is read back."""
+    with Scratch(docs.sparkSession) as scratch:
+        return settled(digests(scratch.keep(encode(docs, id_column, text_column), "media")))

@@ -83,3 +83,30 @@ def test_nothing_to_learn_from(spark):
     held = next(i for i in range(100) if zlib.crc32(str(i).encode()) % 7 == 2)
     verify(documents(spark, ["a b"], first=held))
     assert lattice.score(documents(spark, ["x"]).limit(0), PATH).count() == 0
+
+
+def test_very_long_words(spark):
+    """Words of a megabyte are never broadcast, however often they stand."""
+    long = "ab" * 500_000
+    verify(documents(spark, [long, long + " x y", "x y z", long]))
+
+
+def test_base_score_against_sql(spark, small):
+    """The base score by DuckDB."""
+    import duckdb
+
+    ids = [(r.doc_id, zlib.crc32(str(r.doc_id).encode()) % 7 != 2) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id").collect()]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE folds (doc_id BIGINT, train BOOLEAN)")
+    con.executemany("INSERT INTO folds VALUES (?, ?)", ids)
+    want = con.execute(
+        rf"""
+        WITH t AS (
+            SELECT doc_id, train, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') || [chr(10)]) AS w
+            FROM '{small}/documents.parquet' JOIN folds USING (doc_id)),
+        c AS (SELECT w, count(*) FILTER (train) AS n FROM t GROUP BY w),
+        s AS (SELECT sum(n) AS total, count(*) FILTER (n > 0) AS kinds FROM c)
+        SELECT doc_id, count(*), count(*) FILTER (n > 0), any_value(total)::BIGINT, sum(log10((n + 1) / (total + kinds + 1))) FROM t JOIN c USING (w), s GROUP BY doc_id ORDER BY 1"""
+    ).fetchall()
+    got = lattice.score(spark.read.parquet(f"{small}/documents.parquet"), PATH).select("doc_id", "n_tokens", "n_known", "train_tokens", "base_score").orderBy("doc_id").collect()
+    assert [tuple(r)[:4] for r in got] == [w[:4] for w in want] and [r[4] for r in got] == pytest.approx([w[4] for w in want])

@@ -7,6 +7,10 @@ from helpers import awkward, documents
 from quirespark.llm import licenses
 
 
+#: A line break with a comment's mark before white space or the end.
+COMMENT = r"""(?:\r\n|[\n\v\f\r\x85\u2028\u2029])[ \t]*(?://+!?|/\*+|\*+/?|\#+:?|;+|--+|%+|>+|!+|\|+|\.\\"|<!--|dnl\b|rem\b|')(?=[ \t\n\v\f\r]|\Z)"""
+
+
 def brute(text):
     low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     words = re.findall(licenses.WORD, low)
@@ -15,8 +19,9 @@ def brute(text):
         p = phrase.split()
         hits += [(label, i) for i in range(len(words)) if words[i : i + len(p)] == p]
     found = []
+    folded = re.sub(r"[ \t\n\v\f\r\xa0]+", " ", re.sub(COMMENT, " ", low))
     for rank, r in enumerate(licenses.rules()):
-        found += [(m.start(), m.end(), r.priority, rank, r.label) for m in re.finditer(r.pattern, low)]
+        found += [(m.start(), m.end(), r.priority, rank, r.label) for m in re.finditer(r.pattern, folded)]
     kept = []
     for k, d in enumerate(found):
         key = (d[1] - d[0], d[2], -d[3])
@@ -43,7 +48,7 @@ TEXTS = [
 
 def test_rules_are_many_and_ordered():
     table = licenses.rules()
-    assert len(table) > 200 and len({(r.label, r.pattern) for r in table}) == len(table)
+    assert len(table) > 400 and len(licenses.WORDINGS) > 140 and len({(r.label, r.pattern) for r in table}) == len(table)
     for r in table:
         re.compile(r.pattern)
         assert all(r.literals) and any(any(g in w for g in licenses.GATE) for w in (r.keyword, *r.literals)), r
@@ -115,3 +120,50 @@ def test_wordings_without_other_keywords(spark):
     texts = ["Unauthorized copying of this file, via any medium, is prohibited", "Use is subject to the terms of the GPLv3.", "Usage governed by Apache 2.0"]
     rows = licenses.scan(documents(spark, texts)).orderBy("doc_id").collect()
     assert [r.labels for r in rows] == ["proprietary", "gpl-3.0", "apache-2.0"]
+
+
+NOTICES = {
+    "gpl-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "lgpl-2.1": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "agpl-3.0": "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "apache-2.0": "The ASF licenses this file to You under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
+    "bsd-3-clause": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "cc-by-sa": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "mit": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
+}
+
+
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// "])
+def test_notices_wrapped_at_every_word(spark, mark):
+    """Each notice broken at each of its spaces, and at all of them, with a comment's mark before each line."""
+    texts, want = [], []
+    for label, notice in NOTICES.items():
+        words = notice.split(" ")
+        for k in [*range(1, len(words)), None]:
+            lines = words if k is None else [" ".join(words[:k]), " ".join(words[k:])]
+            texts.append("\n".join(mark + line for line in lines))
+            want.append(label)
+    rows = licenses.scan(documents(spark, texts)).orderBy("doc_id").collect()
+    for r, label, text in zip(rows, want, texts, strict=True):
+        assert label in r.labels.split(","), (r.labels, text)
+
+
+def test_base_columns_against_sql(spark, small):
+    """The base columns by DuckDB."""
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{small}/documents.parquet'")
+    want = con.execute(
+        r"""
+        WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') AS words FROM documents),
+        places AS (SELECT doc_id, words, unnest(range(len(words))) AS i FROM w),
+        hits AS (
+            SELECT doc_id, i, CASE WHEN words[i + 1] = 'mit' AND words[i + 2] = 'license' THEN 'mit' WHEN words[i + 1] = 'apache' AND words[i + 2] = 'license' THEN 'apache'
+                WHEN words[i + 1] = 'general' AND words[i + 2] = 'public' AND words[i + 3] = 'license' THEN 'gpl' END AS label FROM places)
+        SELECT w.doc_id, len(any_value(words)), count(label), min(i) FILTER (label IS NOT NULL), max(i) FILTER (label IS NOT NULL), coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '')
+        FROM w LEFT JOIN hits USING (doc_id) GROUP BY w.doc_id ORDER BY 1"""
+    ).fetchall()
+    got = licenses.scan(spark.read.parquet(f"{small}/documents.parquet")).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels").orderBy("doc_id").collect()
+    assert [tuple(r) for r in got] == want and sum(w[2] for w in want) > 0

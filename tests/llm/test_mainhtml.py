@@ -1,6 +1,7 @@
 import re
 from html import unescape
 
+import duckdb
 import pytest
 
 from quirespark.llm import mainhtml
@@ -20,9 +21,49 @@ AROUND = [
 ]
 
 
+LONG = "<h1>Head line</h1><p>" + " ".join(f"word{k}" for k in range(80)) + ".</p>"
+LONG_TEXT = "Head line " + " ".join(f"word{k}" for k in range(80)) + "."
+#: Names that mislead: builders' widgets, words with another meaning, a page in one form.
+MISLEADING = [
+    ("<body><div class='elementor-widget elementor-widget-text-editor'><div class='elementor-widget-container'>", "</div></div><footer>&copy; some footer words</footer>"),
+    ("<body><nav><a href=/>Home</a></nav><div class='ad-free'>", "</div>"),
+    ("<body><div class='legal-news'>", "</div><div class='ad'>Buy this</div>"),
+    ("<body><form method=post action=x><input type=hidden name=v><div>", "</div></form></body>"),
+    ("<body><div class=widget><ul><li><a href=x>One</a></li></ul></div><div class='search-engine-history'>", "</div><aside><p>Side words</p></aside>"),
+]
+
+
+def learned():
+    """Weights as fit() counts them, from the test pages."""
+    counts = {}
+    for (html,) in duckdb.connect().execute("SELECT html FROM '/root/testdata/sf0.001/pages.parquet'").fetchall():
+        for at, found in enumerate(mainhtml.counted(html)):
+            for kind, n in found.items():
+                counts.setdefault(kind, [0, 0])[at] += n
+    return mainhtml.weights_of({k: tuple(v) for k, v in counts.items()})
+
+
+@pytest.mark.parametrize("by", ["fixed", "learned"])
 @pytest.mark.parametrize("before,after", AROUND)
-def test_templates(before, after):
-    assert mainhtml.main_text(before + ARTICLE + after, WEIGHTS) == TEXT
+def test_templates(before, after, by):
+    weights = WEIGHTS if by == "fixed" else learned()
+    assert mainhtml.main_text(before + ARTICLE + after, weights) == TEXT
+
+
+@pytest.mark.parametrize("by", ["fixed", "learned"])
+@pytest.mark.parametrize("before,after", MISLEADING)
+def test_misleading_names_keep_their_article(before, after, by):
+    weights = WEIGHTS if by == "fixed" else learned()
+    assert mainhtml.main_text(before + LONG + after, weights) == LONG_TEXT
+
+
+def test_without_the_marks_of_articles():
+    """Weights of marked pages find the articles of pages whose marks are taken away."""
+    weights, same, n = learned(), 0, 0
+    for (html,) in duckdb.connect().execute("SELECT html FROM '/root/testdata/sf0.001/pages.parquet'").fetchall():
+        n += 1
+        same += mainhtml.main_text(re.sub("<(/?)article>", r"<\1div>", html), weights) == truth(html)
+    assert same >= 0.95 * n
 
 
 def truth(html):

@@ -66,3 +66,37 @@ def test_media_column_round_trip(spark):
     back = {r.id: r for r in transport.decode(transport.encode(docs)).collect()}
     assert bytes(back[0].payload).rstrip(b"\xff") == b"hello" and len(back[1].payload) == 576
     assert back[2].stamps == [90_000 + 17_280 * k for k in range(4)] and back[2].random_access[0].pts == 90_000
+
+
+def test_long_losses_and_discontinuities():
+    media = transport.write(transport.padded(bytes(range(256)) * 400))
+    packets = [media[i : i + 188] for i in range(0, len(media), 188)]
+    found = transport.read(b"".join(packets[:20] + packets[35:]))
+    assert (found.lost, found.doubled) == (15, 0)  # the counter comes round to the same, with other bytes
+    assert transport.read(b"".join(packets[:20] + packets[36:])).broken >= 1  # the counter goes on as if nothing were lost
+    gap = transport.write(transport.padded(b"y" * 50_000))
+    first = bytearray(gap[376:564])
+    first[5] |= 0x80  # the discontinuity indicator
+    first[3] = first[3] & 0xF0 | 9
+    joined = transport.read(b"".join(packets[:60]) + bytes(first))
+    assert joined.lost == 0
+
+
+def test_stored_media_are_read_back(spark):
+    rows = {r.doc_id: r for r in transport.round_trip(documents(spark, ["z" * 100_000, None])).collect()}
+    assert rows[0].stamps == [90_000 + 17_280 * k for k in range(11)]
+    assert [p.pts for p in rows[0].random_access] == rows[0].stamps[::8] and rows[1].stamps == [90_000]
+
+
+def test_sizes_and_hashes_against_sql(spark, small):
+    """n_bytes and the hash of the payload by DuckDB."""
+    import duckdb
+
+    want = duckdb.connect().execute(
+        f"""
+        WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM '{small}/documents.parquet'),
+        p AS (SELECT doc_id, octet_length(b) AS n, greatest(1, ceil(octet_length(b) / 576.0)::BIGINT) * 576 AS whole, b FROM d)
+        SELECT doc_id, n, whole, sha256(b || unhex(repeat('FF', (whole - n)::INT))) FROM p ORDER BY 1"""
+    ).fetchall()
+    rows = transport.round_trip(spark.read.parquet(f"{small}/documents.parquet")).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256").orderBy("doc_id").collect()
+    assert [tuple(r) for r in rows] == want
