@@ -32,8 +32,9 @@ from __future__ import annotations
 
 import hashlib
 import zlib
+from array import array
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -46,12 +47,13 @@ from pyspark.sql import functions as F
 from quirespark.llm.common import fresh, settled
 
 U = np.uint64
-#: Bytes of text that a map task sorts at once, and that are hashed at once; bytes of front-coded runs that it merges.
-CHUNK, SLICE, HELD = 4 << 20, 1 << 20, 24 << 20
+#: Bytes of text whose anchors are counted at once, that a map task sorts at once, and that are hashed at once; bytes of
+#: front-coded runs that it merges.
+CHUNK, SORTED, SLICE, HELD = 4 << 20, 2 << 20, 1 << 20, 24 << 20
 #: log2 of the bits of the filter of repeated anchors; suffixes of a range; suffixes of an anchor that is hot at least.
-FILTER_BITS, RANGE_ROWS, HOT_LEAST, HOT_SHARE = 29, 100_000, 2000, 500
+FILTER_BITS, RANGE_ROWS, HOT_LEAST, HOT_SHARE = 28, 100_000, 2000, 500
 #: Bits of a hash that the filter skips, for each of its places; bits of it for an anchor at least.
-SKIPPED, BITS_EACH = (0, 18, 35), 4
+SKIPPED, BITS_EACH = (0, 18, 35), 3
 #: Documents after all others.
 LATER = 1 << 62
 MIX = tuple(U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
@@ -208,7 +210,7 @@ class Run:
 
     __slots__ = ("at", "k", "lengths", "n", "rests", "shared", "string")
 
-    def __init__(self, shared: list[int], lengths: list[int], rests: bytes):
+    def __init__(self, shared: Sequence[int], lengths: Sequence[int], rests: bytes):
         self.shared, self.lengths, self.rests, self.n = shared, lengths, rests, len(shared)
         self.k, self.at, self.string = -1, 0, b""
 
@@ -329,11 +331,11 @@ def bloom_places(key: np.ndarray, bits: int) -> list[np.ndarray]:
 class Sorted(NamedTuple):
     """A front-coded run of suffixes, each with its document and start."""
 
-    shared: list[int]
-    lengths: list[int]
+    shared: Sequence[int]
+    lengths: Sequence[int]
     rests: bytes
-    owners: list[int]
-    starts: list[int]
+    owners: Sequence[int]
+    starts: Sequence[int]
 
 
 def local_merge(held: list[Sorted], bounds: list[bytes], gone: list[tuple[int, int, int]]) -> Iterator[tuple[int, Sorted]]:
@@ -403,7 +405,7 @@ def _sorted_runs(width: int, gram: int, ranges: int, bloom, hot: np.ndarray):
         order = sorted(range(len(strings)), key=strings.__getitem__)
         strings = [strings[k] for k in order]
         shared, rests = front_code(strings)
-        return Sorted(shared.tolist(), [len(s) for s in strings], rests, ids[doc[order]].tolist(), lo[order].tolist())
+        return Sorted(array("i", shared.tobytes()), array("i", map(len, strings)), rests, array("q", ids[doc[order]].tobytes()), array("q", lo[order].astype(np.int64).tobytes()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1).compress
@@ -426,9 +428,9 @@ def _sorted_runs(width: int, gram: int, ranges: int, bloom, hot: np.ndarray):
 
         held: list[Sorted] = []
         size = 0
-        for ids, texts, starts in chunks(batches):
+        for ids, texts, starts in chunks(batches, SORTED):
             held.append(sorted_chunk(ids, texts, starts))
-            size += len(held[-1].rests) + 150 * len(held[-1].shared)  # about what its lists take
+            size += len(held[-1].rests) + 24 * len(held[-1].shared)
             if size >= HELD:
                 yield from dealt(held)
                 held, size = [], 0
@@ -448,9 +450,9 @@ def _merged(width: int):
             if row["known"]:
                 out.append(tuple(np.frombuffer(plain(row["known"]), np.int64).reshape(3, -1)))
                 continue
-            sources.append(Run(*(np.frombuffer(plain(row[c]), np.int32).tolist() for c in ("shared", "lengths")), plain(row["rests"])))
-            docs.append(np.frombuffer(plain(row["doc"]), np.int64).tolist())
-            los.append(np.frombuffer(plain(row["lo"]), np.int64).tolist())
+            sources.append(Run(*(array("i", plain(row[c])) for c in ("shared", "lengths")), plain(row["rests"])))
+            docs.append(array("q", plain(row["doc"])))
+            los.append(array("q", plain(row["lo"])))
         gone: list[tuple[int, int, int]] = []
         group: list[tuple[bytes, int, int]] = []  # (suffix, doc, start) of the earliest of equal ones, of one anchor
         mixed: list[tuple[bytes, int, int]] = []  # those of anchors with different suffixes

@@ -59,7 +59,7 @@ def test_planted_passages(spark, seed, how):
 
 def test_many_chunks_and_slices(spark, monkeypatch):
     texts = passages(9, 60) + ["long " + "".join(random.Random(3).choices("abc ", k=30_000))] * 2
-    for small in ("CHUNK", "SLICE"):
+    for small in ("CHUNK", "SORTED", "SLICE"):
         monkeypatch.setattr(suffixes, small, 700)
     monkeypatch.setattr(suffixes, "HELD", 20_000)
     import numpy as np
