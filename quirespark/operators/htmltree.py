@@ -8,14 +8,17 @@ scripts, styles and comments. Parsing is one Python pass per page, in Arrow batc
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html import escape
 from html.parser import HTMLParser
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quirespark.functions.names import unused
+
 VOID = frozenset("area base br col embed hr img input keygen link meta param source track wbr".split())
 HIDDEN = frozenset(("script", "style", "template"))
 HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
@@ -259,7 +262,8 @@ def cleaned(html: str | None) -> str:
             n.children = []
             n.attributes.pop("format", None)
     body = next((n for n in root.walk() if n.name == "body"), None)
-    inside = "".join(f"{c.markup() if isinstance(c, Node) else escape(c, quote=False)} \n " for c in (body.children if body is not None else []) if isinstance(c, Node) or c.strip())
+    children = body.children if body is not None else []
+    inside = " ".join(x for c in children for x in (c.markup() if isinstance(c, Node) else str(c), "\n"))
     return f"```html\n<html><body>\n{inside}</body></html>\n```"
 
 
@@ -275,64 +279,71 @@ def with_sources(html: str | None, sources: dict[int, str]) -> str:
 # ---- DataFrame operators ----
 
 
-def _udf(function, schema: str):
-    @F.udf(schema, useArrow=True)
-    def run(html):
-        return function(html)
+def _mapped(pages: DataFrame, html: str, function: Callable[[str | None], object], arrow: pa.DataType, sql: str, name: str) -> DataFrame:
+    """pages with a column of what a function makes of each page, by batches, instead of the HTML."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [function(x.as_py()) for x in batch.column(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, arrow)], names=[*batch.schema.names[:-1], name])
 
-    return run
+    kept = [c for c in pages.columns if c != html]
+    schema = ", ".join([*(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in kept), f"`{name}` {sql}"])
+    return pages.select(*kept, html).mapInArrow(run, schema)
 
 
 def page_blocks(pages: DataFrame, html: str = "html") -> DataFrame:
     """pages with a row for each block (ord, kind, tag, ...) instead of the HTML."""
+    kept, name = [c for c in pages.columns if c != html], unused(pages, "blocks")
+    return _mapped(pages, html, blocks, pa.list_(BLOCK), f"array<{BLOCK_SQL}>", name).select(*kept, F.explode(name).alias(unused(pages, "block"))).select(*kept, f"{unused(pages, 'block')}.*")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [blocks(x.as_py()) for x in batch.column(batch.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.list_(BLOCK))], names=[*batch.schema.names[:-1], "blocks"])
 
-    kept = [c for c in pages.columns if c != html]
-    schema = ", ".join([*(f"`{c}` {pages.schema[c].dataType.simpleString()}" for c in kept), f"blocks array<{BLOCK_SQL}>"])
-    return pages.select(*kept, html).mapInArrow(run, schema).select(*kept, F.explode("blocks").alias("b")).select(*kept, "b.*")
+#: Names of a page's statistics.
+STATISTICS = ("total_elements", "headings", "paragraphs", "formulas", "images", "tables", "lists")
 
 
 def page_statistics(pages: DataFrame, html: str = "html") -> DataFrame:
-    names = ("total_elements", "headings", "paragraphs", "formulas", "images", "tables", "lists")
-    count = _udf(statistics, "struct<" + ", ".join(f"{n}: bigint" for n in names) + ">")
-    kept = [c for c in pages.columns if c != html]
-    return pages.select(*kept, count(F.col(html)).alias("s")).select(*kept, "s.*")
+    kept, name = [c for c in pages.columns if c != html], unused(pages, "found")
+    return _mapped(pages, html, statistics, pa.struct([(n, pa.int64()) for n in STATISTICS]), "struct<" + ", ".join(f"{n}: bigint" for n in STATISTICS) + ">", name).select(*kept, f"{name}.*")
 
 
 def totals(stats: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
-    names = ("total_elements", "headings", "paragraphs", "formulas", "images", "tables", "lists")
-    return stats.groupBy(*by).agg(F.count("*").alias("total_pages"), *(F.sum(n).alias(n if n.startswith("total_") else f"total_{n}") for n in names))
+    return stats.groupBy(*by).agg(F.count("*").alias("total_pages"), *(F.sum(n).alias(n if n.startswith("total_") else f"total_{n}") for n in STATISTICS))
 
 
 def element_records(pages: DataFrame, html: str = "html") -> DataFrame:
-    find = _udf(records, "array<struct<type: string, bbox: string, text: string, class: array<string>, parent_class: array<string>>>")
-    kept = [c for c in pages.columns if c != html]
-    return pages.select(*kept, F.posexplode(find(F.col(html))).alias("ord", "r")).select(*kept, "ord", "r.*")
+    kept, name = [c for c in pages.columns if c != html], unused(pages, "found")
+    texts = pa.list_(pa.string())
+    arrow = pa.list_(pa.struct([("type", pa.string()), ("bbox", pa.string()), ("text", pa.string()), ("class", texts), ("parent_class", texts)]))
+    found = _mapped(pages, html, records, arrow, "array<struct<type: string, bbox: string, text: string, class: array<string>, parent_class: array<string>>>", name)
+    return found.select(*kept, F.posexplode(name).alias("ord", f"{name}_")).select(*kept, "ord", f"{name}_.*")
 
 
 def positioned_blocks(pages: DataFrame, html: str = "html") -> DataFrame:
-    find = _udf(bbox_blocks, "array<struct<x1: double, y1: double, x2: double, y2: double, tag_name: string, bbox_str: string, text: string, original_index: int, markup: string>>")
-    kept = [c for c in pages.columns if c != html]
-    return pages.select(*kept, F.explode(find(F.col(html))).alias("r")).select(*kept, "r.*")
+    kept, name = [c for c in pages.columns if c != html], unused(pages, "found")
+    arrow = pa.list_(pa.struct([*((c, pa.float64()) for c in ("x1", "y1", "x2", "y2")), *((c, pa.string()) for c in ("tag_name", "bbox_str", "text")), ("original_index", pa.int32()), ("markup", pa.string())]))
+    found = _mapped(pages, html, bbox_blocks, arrow, "array<struct<x1: double, y1: double, x2: double, y2: double, tag_name: string, bbox_str: string, text: string, original_index: int, markup: string>>", name)
+    return found.select(*kept, F.explode(name).alias(f"{name}_")).select(*kept, f"{name}_.*")
 
 
 def clean_html(html: Column) -> Column:
-    return _udf(cleaned, "string")(html)
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([cleaned(t) for t in texts], dtype=object)
+
+    return run(html)
 
 
 def insert_sources(pages: DataFrame, images: DataFrame, page: str = "page", html: str = "html") -> DataFrame:
     """pages with the sources of images (page, img_ord, path): a left join on the page, so that pages without images stay."""
-    by_page = images.groupBy(page).agg(F.map_from_entries(F.collect_list(F.struct(F.col("img_ord").cast("int"), "path"))).alias("__sources"))
+    sources = unused(pages, "sources")
+    by_page = images.groupBy(page).agg(F.map_from_entries(F.collect_list(F.struct(F.col("img_ord").cast("int"), "path"))).alias(sources))
 
     @F.udf("string", useArrow=True)
     def rewritten(text, sources):
         return text if not sources else with_sources(text, dict(sources))
 
-    return pages.join(by_page, page, "left").withColumn(html, rewritten(F.col(html), F.col("__sources"))).select(*pages.columns)
+    return pages.join(by_page, page, "left").withColumn(html, rewritten(F.col(html), F.col(sources))).select(*pages.columns)
 
 
 def image_index(paths: DataFrame, prefix: str, path: str = "path") -> DataFrame:

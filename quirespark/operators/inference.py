@@ -98,7 +98,7 @@ class HttpClient:
 
 def api_status(key: str | None, base_url: str) -> dict[str, object]:
     """Whether a key is configured, and for which server; the key itself isn't shown."""
-    return {"api_key_configured": bool(key), "api_key_length": len(key or ""), "base_url": base_url}
+    return {"api_key_configured": bool(key), "base_url": base_url}
 
 
 def request_key(*parts: Column) -> Column:

@@ -14,7 +14,7 @@ YES = "是"
 NUMBERED = (r"第([一二三四五六七八九十\d]+)[张个幅]?图", r"图([一二三四五六七八九十\d]+)", r"第([一二三四五六七八九十\d]+)[张个幅]?表", r"表([一二三四五六七八九十\d]+)")
 KEYWORDS = ("图", "表", "图片", "图像", "图表", "示意图", "流程图")
 #: Image references in Markdown and in HTML.
-MARKDOWN_IMAGE, HTML_IMAGE = r"!\[([^\]]*)\]\(([^)]+)\)", r"<img[^>]*src=[\"']([^\"']+)[\"'][^>]*>"
+MARKDOWN_IMAGE, HTML_IMAGE = r"!\[([^\]]*)\]\(([^)]+)\)", r"<img[^>]+src=[\"']([^\"']+)[\"'][^>]*>"
 SUMMARY_PROMPT = "Summarise the paper below: title and authors, background and problem, methods, contributions, results, conclusions and future work.\n\n{content}\n\n{more}"
 QA_PROMPT = "Answer the question from the paper below. Name the part that you rely on, and say so if the paper has no answer.\n\nPaper:\n{content}\n\n{more}\n\n{history}\n\nQuestion: {question}"
 VISION_PROMPT = "Look at the image and answer the question.\n\nQuestion: {question}\n\nContext:\n{content}..."

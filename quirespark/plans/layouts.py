@@ -9,32 +9,34 @@ from quirespark.operators import layout, reading_order
 from quirespark.plans.inputs import EL, HEIGHT, WIDTH, elements, longs, page_sizes
 
 
-def _layouts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def _layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     els = elements(spark, sf_dir)
-    return els, layout.page_layout(els, page_sizes(els))
+    return layout.page_layout(els, page_sizes(els))
+
+
+def _regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    els = elements(spark, sf_dir)
+    return layout.regions(els, page_sizes(els))
 
 
 def page_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _layouts(spark, sf_dir)[1].select("page", "layout_type", "center_line", "n_content", "n_crossing")
+    return _layouts(spark, sf_dir).select("page", "layout_type", "center_line", "n_content", "n_crossing")
 
 
 def layout_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return layout.layout_distribution(_layouts(spark, sf_dir)[1])
+    return layout.layout_distribution(_layouts(spark, sf_dir))
 
 
 def layout_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    els, layouts = _layouts(spark, sf_dir)
-    return longs(layout.regions(els, layouts))
+    return longs(_regions(spark, sf_dir).drop("width", "height", "layout_type"))
 
 
 def page_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    els, layouts = _layouts(spark, sf_dir)
-    return longs(layout.slices(layout.regions(els, layouts), layouts))
+    return longs(layout.slices(_regions(spark, sf_dir)).drop("width", "height", "layout_type"))
 
 
 def slice_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    els, layouts = _layouts(spark, sf_dir)
-    return layout.slice_summary(layout.slices(layout.regions(els, layouts), layouts)).withColumn("slices_per_page", F.round("slices_per_page", 6))
+    return layout.slice_summary(layout.slices(_regions(spark, sf_dir))).withColumn("slices_per_page", F.round("slices_per_page", 6))
 
 
 def column_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:

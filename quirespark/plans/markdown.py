@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quirespark.functions import text as T
 from quirespark.operators import markdown, qa
 from quirespark.plans.inputs import longs, table
+from quirespark.sources import files
 
 
 def _broken(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,8 +33,7 @@ def md_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def md_validate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stripped = T.strip(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", (F.length(stripped) > 0).alias("valid"), F.length("text").cast("long").alias("content_length"))
+    return longs(files.markdown_status(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "valid", "content_length"))
 
 
 def image_refs(spark: SparkSession, sf_dir: str) -> DataFrame:

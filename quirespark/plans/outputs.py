@@ -24,13 +24,17 @@ def _described(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def bbox_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metadata documents made and taken apart again: a document's summary with what its elements add up to."""
-    docs = spark.range(100).select(F.col("id").alias("doc_id"), F.concat(F.lit("in"), F.col("id").cast("string")).alias("source_file"), F.lit("out").alias("output_file"), F.lit("2025-01-01 00:00:00").alias("creation_time"), F.lit(100).alias("total_pages"))
-    whole = sinks.metadata(_described(spark, sf_dir), docs)
+    whole = metadata_of_documents(spark, sf_dir)
     flat = files.metadata_elements(whole.withColumn("path", F.col("doc_id").cast("string")))
     back = flat.groupBy(F.col("path").cast("long").alias("doc_id")).agg(F.count("*").alias("n_elements"), F.sum(F.length("content")).alias("n_chars"), F.sum("confidence").alias("confidence"), F.count_if(F.col("label") == "T").alias("n_labelled"))
     return longs(whole.select("doc_id", "source_file", "summary.*").join(back, "doc_id", "left"))
 
 
+def metadata_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.range(100).select(F.col("id").alias("doc_id"), F.concat(F.lit("in"), F.col("id").cast("string")).alias("source_file"), F.lit("out").alias("output_file"), F.lit("2025-01-01 00:00:00").alias("creation_time"), F.lit(100).alias("total_pages"))
+    return sinks.metadata(_described(spark, sf_dir), docs)
+
+
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longs(sinks.annotations(_described(spark, sf_dir)).select("page_number", "idx", "type", "color", "line_width", "drawn_label"))
 
@@ -50,8 +54,7 @@ def images_per_page(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def slice_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     els = elements(spark, sf_dir)
-    layouts = layout.page_layout(els, page_sizes(els))
-    info = layout.slice_info(layout.slices(layout.regions(els, layouts), layouts), layouts)
+    info = layout.slice_info(layout.slices(layout.regions(els, page_sizes(els))))
     area = F.aggregate("slices", F.lit(0).cast("long"), lambda a, s: a + s["width"].cast("long") * s["height"])
     return longs(info.select("page", "layout_type", F.size("slices").alias("n_slices"), F.size("discarded_slices").alias("n_discarded"), area.alias("pixels"), F.get("discarded_slices", F.lit(0))["reason"].alias("reason")))
 
@@ -96,5 +99,5 @@ ORACLES = {
         arg_min(printf('PDF box too small (%.1fx%.1fpx)', x2 - x1, y2 - y1), region_ord) FILTER (discarded) AS reason FROM cut JOIN lay USING (page) GROUP BY page""",
     "block_texts": "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'text' ELSE 'image' END AS type, CASE p_partkey % 3 WHEN 0 THEN trim('  ' || p_name || ' ' || p_brand || ' ' || p_type || '  ') END AS content FROM part WHERE p_partkey % 3 < 2",
     "point_replies": "SELECT p_partkey, CASE WHEN p_partkey % 9 <> 0 THEN CAST(p_size AS VARCHAR) END AS x, CASE WHEN p_partkey % 9 <> 0 THEN p_brand END AS alt, CASE WHEN p_partkey % 9 <> 0 THEN p_name END AS phrase FROM part",
-    "html_cleaned": """SELECT s_suppkey, '```html' || chr(10) || '<html><body>' || chr(10) || '<p class="formula"' || CASE WHEN s_suppkey % 2 = 0 THEN '' ELSE ' style=" margin: 1px"' END || '>' || s_name || '</p> ' || chr(10) || ' <div class="image"></div> ' || chr(10) || ' </body></html>' || chr(10) || '```' AS html FROM supplier""",
+    "html_cleaned": """SELECT s_suppkey, '```html' || chr(10) || '<html><body>' || chr(10) || '<p class="formula"' || CASE WHEN s_suppkey % 2 = 0 THEN '' ELSE ' style=" margin: 1px"' END || '>' || s_name || '</p> ' || chr(10) || ' <div class="image"></div> ' || chr(10) || '</body></html>' || chr(10) || '```' AS html FROM supplier""",
 }

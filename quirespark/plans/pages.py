@@ -34,8 +34,9 @@ def html_list_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def html_element_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = htmltree.element_records(_pages(spark, sf_dir)).filter(F.col("type").isin("h1", "div", "ul"))
-    return found.select("page_id", "type", "bbox", "text", F.array_join("class", " ").alias("class"))
+    """Records of all elements; paragraphs without end tags hold what follows, which SQL can't express."""
+    found = htmltree.element_records(_pages(spark, sf_dir))
+    return longs(found.select("page_id", "ord", "type", "bbox", "text", F.array_join("class", " ").alias("class"), F.array_join("parent_class", " ").alias("parent_class")))
 
 
 def html_table_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,9 +87,4 @@ ORACLES = {
         g AS (SELECT page, max(CASE WHEN k = 1 THEN 1 END) AS one, max(CASE WHEN k = 2 THEN 1 END) AS two, count(*) AS n FROM f GROUP BY page)
         SELECT CAST(r.page AS BIGINT) AS page, CASE WHEN coalesce(n, 0) = 0 THEN '<p>a</p><img alt="x"><img src="old">' ELSE '<p>a</p><img alt="x"' || CASE WHEN one = 1 THEN ' src="/figures/doc_page_' || r.page || '_1.png"' ELSE '' END || '/><img src="' || CASE WHEN two = 1 THEN '/figures/doc_page_' || r.page || '_2.png' ELSE 'old' END || '"/>' END AS html
         FROM range(60) r(page) LEFT JOIN g USING (page)""",
-    "html_element_records": f"""WITH p AS (SELECT page_id, {_TEXT} AS t FROM pages),
-        e AS (SELECT page_id, 'h1' AS type, unnest(regexp_extract_all(t, '<h1>(.*?)</h1>', 1, 's')) AS x, '' AS class FROM p
-          UNION ALL SELECT page_id, 'ul', unnest(regexp_extract_all(t, '<ul>(.*?)</ul>', 1, 's')), '' FROM p
-          UNION ALL SELECT page_id, 'div', unnest(regexp_extract_all(t, '<div class="ad">(.*?)</div>', 1, 's')), 'ad' FROM p)
-        SELECT page_id, type, '' AS bbox, substring(trim({_PLAIN.format(x="regexp_replace(x, '<[^>]*>', '', 'g')")}), 1, 200) AS text, class FROM e""",
 }

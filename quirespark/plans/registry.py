@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from quirespark.plans import elements, layouts, markdown, outputs, pages, qa, scalars
+from quirespark.plans import elements, layouts, markdown, outputs, pages, qa, scalars, stored
 
-MODULES = (pages, markdown, scalars, elements, layouts, outputs, qa)
+MODULES = (pages, markdown, scalars, elements, layouts, outputs, stored, qa)
 QUERIES = {name: query for m in MODULES for name, query in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}

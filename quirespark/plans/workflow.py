@@ -38,8 +38,8 @@ class Workflow:
 def analyse_layout(t: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """elements, pages -> layouts, regions, slices."""
     layouts = layout.page_layout(t["elements"], t["pages"])
-    found = layout.regions(t["elements"], layouts)
-    return {"layouts": layouts, "regions": found, "slices": layout.slices(found, layouts)}
+    found = layout.regions(t["elements"], t["pages"])
+    return {"layouts": layouts, "regions": found, "slices": layout.slices(found)}
 
 
 def convert_html(t: dict[str, DataFrame]) -> dict[str, DataFrame]:

@@ -10,6 +10,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quirespark.functions.names import unused
+
 #: The colors of annotations by type, and factors of their line width.
 COLORS = {"text": "blue", "image": "green", "table": "red", "original_line": "orange", "original_qwen_table": "purple", "vector_graphic": "magenta"}
 PREVIEW = 200
@@ -26,9 +28,10 @@ def metadata(elements: DataFrame, documents: DataFrame, by: str = "doc_id") -> D
     content = F.when(F.col("type") == "text", F.substring("content", 1, PREVIEW))
     table = lambda c, default: F.when(F.col("type").isin("table", "original_qwen_table"), F.coalesce(c, F.lit(default)))
     one = F.struct("type", F.array("x1", "y1", "x2", "y2").alias("bbox"), F.col("idx").alias("index"), content.alias("content"), table("label", "表格").alias("label"), table("confidence", 1.0).alias("confidence"), table("refined", False).alias("refined"), *of_vector)
-    rows = elements.withColumn("__e", one)
+    own = unused(elements, "element")
+    rows = elements.withColumn(own, one)
     # elements hold maps, which have no order of their own
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("idx", "type", "__e")), lambda a, b: F.when(a["idx"] < b["idx"], -1).when(a["idx"] > b["idx"], 1).when(a["type"] < b["type"], -1).when(a["type"] > b["type"], 1).otherwise(0)), lambda r: r["__e"])
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("idx", "type", own)), lambda a, b: F.when(a["idx"] < b["idx"], -1).when(a["idx"] > b["idx"], 1).when(a["type"] < b["type"], -1).when(a["type"] > b["type"], 1).otherwise(0)), lambda r: r[own])
     pages = rows.groupBy(by, "page_number").agg(ordered.alias("elements"), *(F.count_if(F.col("type") == t).alias(f"n_{t}") for t in COLORS), F.count_if((F.col("type") == "table") & F.coalesce("refined", F.lit(False))).alias("n_refined"))
     total = lambda c, name: F.sum(c).cast("int").alias(name)
     whole = pages.groupBy(by).agg(

@@ -179,7 +179,7 @@ def test_layout_examples(spark, boxes, kind, regions):
     assert layouts.first().layout_type == kind
     found = layout.regions(df, layouts)
     assert found.count() == regions
-    cut = layout.slices(found, layouts).orderBy("region_ord").collect()
+    cut = layout.slices(found).orderBy("region_ord").collect()
     kept = [r for r in cut if not r.discarded]
     assert [r.slice_index for r in kept] == list(range(1, len(kept) + 1)) and all(r.x2 - r.x1 > 15 and r.y2 - r.y1 > 15 for r in kept)
     assert kept[0].filename == "page_1_slice_1.jpg"

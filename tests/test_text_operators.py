@@ -212,7 +212,7 @@ def test_calls_isolate_failures(spark):
     rows = spark.createDataFrame([("a", "p1"), ("b", "unknown")], "request_key string, prompt string")
     got = {r.request_key: r for r in inference.call(rows, lambda: inference.ReplayClient({"p1": "r1"}), "m", policy=inference.RetryPolicy(1, 0.0), parallelism=2).collect()}
     assert got["a"].reply == "r1" and got["a"].attempts == 1 and got["b"].reply is None and "KeyError" in got["b"].error
-    assert inference.api_status("secret", "http://x") == {"api_key_configured": True, "api_key_length": 6, "base_url": "http://x"}
+    assert inference.api_status("secret", "http://x") == {"api_key_configured": True, "base_url": "http://x"}
     assert "secret" not in repr(inference.HttpClient("http://x", "secret"))
 
 
