@@ -34,7 +34,7 @@ import hashlib
 import zlib
 from array import array
 from bisect import bisect_right
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -52,6 +52,8 @@ U = np.uint64
 CHUNK, SORTED, SLICE, HELD = 4 << 20, 2 << 20, 1 << 20, 24 << 20
 #: log2 of the bits of the filter of repeated anchors; suffixes of a range; suffixes of an anchor that is hot at least.
 FILTER_BITS, RANGE_ROWS, HOT_LEAST, HOT_SHARE = 28, 100_000, 2000, 500
+#: Suffixes of anchors with different ones that are matched at once.
+MATCHED = 10_000
 #: Bits of a hash that the filter skips, for each of its places; bits of it for an anchor at least.
 SKIPPED, BITS_EACH = (0, 18, 35), 3
 #: Documents after all others.
@@ -65,8 +67,8 @@ def _words(data: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.as_strided(data, (n, 8), (1, 1)).copy().view("<u8").ravel()
 
 
-def _mixed(words: list[np.ndarray], seed: int = 0) -> np.ndarray:
-    h = np.full(len(words[0]), seed, U)
+def _mixed(n: int, words: Iterable[np.ndarray], seed: int = 0) -> np.ndarray:
+    h = np.full(n, seed, U)
     for k, w in enumerate(words):
         h += w
         h *= MIX[k & 3]
@@ -79,7 +81,7 @@ def runs(data: bytes, starts: np.ndarray, ends: np.ndarray, width: int, gram: in
     n, span = len(data), width - gram + 1
     padded = np.frombuffer(data + b"\0" * (gram + 8), np.uint8)
     w = _words(padded)
-    grams = _mixed([w[k : n + k] for k in range(0, gram, 8)])
+    grams = _mixed(n, (w[k : n + k] for k in range(0, gram, 8)))
     least, have = grams, 1
     while have * 2 <= span:
         least, have = np.minimum(least[:-have], least[have:]), have * 2
@@ -298,8 +300,8 @@ def united(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndar
 def window_hashes(data: bytes, places: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     w = _words(np.frombuffer(data + b"\0" * 8, np.uint8))
     offsets = [*range(0, width - 7, 8)] + ([width - 8] if width % 8 else [])
-    words = [w[places + k] for k in offsets]
-    return _mixed(words, 1), _mixed(words[::-1], 2)
+    # a word of all places at a time
+    return _mixed(len(places), (w[places + k] for k in offsets), 1), _mixed(len(places), (w[places + k] for k in reversed(offsets)), 2)
 
 
 def repeated_windows(strings: list[bytes], doc: np.ndarray, lo: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -479,7 +481,7 @@ def _merged(width: int):
                 if h < 8:
                     if len(group) > 1:
                         mixed += group
-                        if len(mixed) >= 40_000:
+                        if len(mixed) >= MATCHED:
                             matched()
                     group = []
                 group.append((string[8:], doc, lo))
