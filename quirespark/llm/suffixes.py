@@ -49,7 +49,7 @@ from quirespark.llm.common import fresh, settled
 U = np.uint64
 #: Bytes of text whose anchors are counted at once, that a map task sorts at once, and that are hashed at once; bytes of
 #: front-coded runs that it merges.
-CHUNK, SORTED, SLICE, HELD = 4 << 20, 2 << 20, 1 << 20, 24 << 20
+CHUNK, SORTED, SLICE, HELD = 4 << 20, 2 << 20, 1 << 17, 24 << 20
 #: log2 of the bits of the filter of repeated anchors; suffixes of a range; suffixes of an anchor that is hot at least.
 FILTER_BITS, RANGE_ROWS, HOT_LEAST, HOT_SHARE = 28, 100_000, 2000, 500
 #: Suffixes of anchors with different ones that are matched at once.
@@ -340,40 +340,41 @@ class Sorted(NamedTuple):
     starts: Sequence[int]
 
 
-def local_merge(held: list[Sorted], bounds: list[bytes], gone: list[tuple[int, int, int]]) -> Iterator[tuple[int, Sorted]]:
-    """(range, its part) of the merged runs. Of equal suffixes the earliest stays, the others go to `gone`."""
+def intervals_of(flat: array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The union of (document, start, end), three numbers after another."""
+    return united(*np.frombuffer(flat, np.int64).reshape(-1, 3).T)
+
+
+def local_merge(held: list[Sorted], bounds: list[bytes], gone: array) -> Iterator[tuple[int, Sorted]]:
+    """(range, its part) of the merged runs. Of equal suffixes the earliest stays, the others go to `gone`, three numbers each."""
     sources = [Run(h.shared, h.lengths, h.rests) for h in held]
-    shared: list[int] = []
-    lengths: list[int] = []
-    rests: list[bytes] = []
-    owners: list[int] = []
-    starts: list[int] = []
+    shared, lengths, rests, owners, starts = array("i"), array("i"), bytearray(), array("q"), array("q")
     r, before = 0, b""
     for k, h in merge(sources):
         run = sources[k]
         s, owner, start = run.string, held[k].owners[run.k], held[k].starts[run.k]
         if h == len(s) == len(before):
             if (owner, start) < (owners[-1], starts[-1]):
-                gone.append((owners[-1], starts[-1], starts[-1] + len(s) - 8))
+                gone.extend((owners[-1], starts[-1], starts[-1] + len(s) - 8))
                 owners[-1], starts[-1] = owner, start
             elif (owner, start) > (owners[-1], starts[-1]):
-                gone.append((owner, start, start + len(s) - 8))
+                gone.extend((owner, start, start + len(s) - 8))
             continue
         if r < len(bounds) and s >= bounds[r]:
             if lengths:
-                yield r, Sorted(shared, lengths, b"".join(rests), owners, starts)
-                shared, lengths, rests, owners, starts = [], [], [], [], []
+                yield r, Sorted(shared, lengths, bytes(rests), owners, starts)
+                shared, lengths, rests, owners, starts = array("i"), array("i"), bytearray(), array("q"), array("q")
             r = bisect_right(bounds, s)
         if not lengths:
             h = 0
         shared.append(h)
         lengths.append(len(s))
-        rests.append(s[h:])
+        rests += s[h:]
         owners.append(owner)
         starts.append(start)
         before = s
     if lengths:
-        yield r, Sorted(shared, lengths, b"".join(rests), owners, starts)
+        yield r, Sorted(shared, lengths, bytes(rests), owners, starts)
 
 
 def _sorted_runs(width: int, gram: int, ranges: int, bloom, hot: np.ndarray):
@@ -413,17 +414,17 @@ def _sorted_runs(width: int, gram: int, ranges: int, bloom, hot: np.ndarray):
         squeeze = zstandard.ZstdCompressor(level=1).compress
 
         def dealt(held: list[Sorted]) -> Iterator[pa.RecordBatch]:
-            gone: list[tuple[int, int, int]] = []
+            gone = array("q")
             rows: list[tuple] = []
             size = 0
             for r, part in local_merge(held, bounds, gone):
-                rows.append((r, *(squeeze(np.array(c, np.int32).tobytes()) for c in (part.shared, part.lengths)), squeeze(part.rests), *(squeeze(np.array(c, np.int64).tobytes()) for c in (part.owners, part.starts)), None))
+                rows.append((r, *(squeeze(c) for c in (part.shared, part.lengths, part.rests, part.owners, part.starts)), None))
                 size += len(rows[-1][3])
                 if size >= CHUNK:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
                     rows, size = [], 0
             if gone:  # any range may report them
-                known = np.stack(united(*(np.array(c, np.int64) for c in zip(*gone, strict=True)))).tobytes()
+                known = np.stack(intervals_of(gone)).tobytes()
                 rows.append((zlib.crc32(known) % ranges, *[None] * 5, squeeze(known)))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
@@ -455,7 +456,7 @@ def _merged(width: int):
             sources.append(Run(*(array("i", plain(row[c])) for c in ("shared", "lengths")), plain(row["rests"])))
             docs.append(array("q", plain(row["doc"])))
             los.append(array("q", plain(row["lo"])))
-        gone: list[tuple[int, int, int]] = []
+        gone = array("q")
         group: list[tuple[bytes, int, int]] = []  # (suffix, doc, start) of the earliest of equal ones, of one anchor
         mixed: list[tuple[bytes, int, int]] = []  # those of anchors with different suffixes
 
@@ -473,10 +474,10 @@ def _merged(width: int):
             if h == len(string) == len(before):
                 _, d, a = group[-1]
                 if (doc, lo) < (d, a):
-                    gone.append((d, a, a + len(string) - 8))
+                    gone.extend((d, a, a + len(string) - 8))
                     group[-1] = (string[8:], doc, lo)
                 elif (doc, lo) > (d, a):
-                    gone.append((doc, lo, lo + len(string) - 8))
+                    gone.extend((doc, lo, lo + len(string) - 8))
             else:
                 if h < 8:
                     if len(group) > 1:
@@ -491,7 +492,7 @@ def _merged(width: int):
         if mixed:
             matched()
         if gone:
-            out.append(united(*(np.array(c, np.int64) for c in zip(*gone, strict=True))))
+            out.append(intervals_of(gone))
         if not out:
             return schema.empty_table()
         return pa.table([pa.array(c) for c in united(*(np.concatenate(c) for c in zip(*out, strict=True)))], schema=schema)
