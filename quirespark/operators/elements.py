@@ -129,8 +129,11 @@ def page_elements(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("type", kind).filter(F.col("type").isNotNull()).withColumn("content", F.when(F.col("type") == "text", block_text(F.col("lines"))))
 
 
-def process_page(texts: DataFrame, images: DataFrame, tables: DataFrame, lines: DataFrame, show_lines: bool = False, page: str = "page") -> DataFrame:
-    """The whole page: tables give way to images, texts are merged and give way to tables, lines may join images as vector graphics; one ordered list."""
+def process_page(texts: DataFrame, images: DataFrame, tables: DataFrame, lines: DataFrame, show_lines: bool = False, page: str = "page", predicted: DataFrame | None = None) -> DataFrame:
+    """The whole page: tables give way to images, texts are merged and give way to tables, lines may join images as vector graphics; one ordered list.
+
+    Tables as predicted, before their borders were snapped, come last where they are given, and take no part in the rest.
+    """
     keys = (page,)
     images = suppress_duplicates(images, page=keys).withColumn("idx", F.col("idx").cast("long"))
     tables = without_overlaps(tables, images, 0.3, keys)
@@ -140,6 +143,8 @@ def process_page(texts: DataFrame, images: DataFrame, tables: DataFrame, lines:
     parts = part(tables, "table").unionByName(part(images, "image")).unionByName(part(kept, "text"))
     if show_lines:
         parts = merge_vector_graphics(parts.unionByName(part(lines, "original_line")), page=page).select(page, F.col("ord").cast("long").alias("idx"), "type", *BOX)
+    if predicted is not None:
+        parts = parts.unionByName(part(predicted, "original_qwen_table"))
     return priority_union(parts, keys)
 
 

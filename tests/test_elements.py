@@ -103,6 +103,11 @@ def test_process_page_orders_by_priority(spark):
     of = lambda t: df.filter(F.col("type") == t).withColumn("content", F.lit("x"))
     got = E.process_page(of("text"), of("image"), of("table"), of("original_line")).orderBy("ord").collect()
     assert [r.type for r in got] == ["table", "image", "text"]
+    predicted = frame(spark, [(1, "table", (2, 98, 297, 305)), (2, "table", (5, 5, 90, 90))])
+    for show in (False, True):
+        got = E.process_page(of("text"), of("image"), of("table"), of("original_line"), show, predicted=predicted).orderBy("page", "ord").collect()
+        assert [(r.page, r.type) for r in got] == [(1, "table"), (1, "image"), (1, "text"), (1, "original_qwen_table"), (2, "original_qwen_table")]
+        assert [(r.x1, r.y1, r.x2, r.y2) for r in got if r.type == "original_qwen_table"] == [(2, 98, 297, 305), (5, 5, 90, 90)]
 
 
 def test_summary_and_histogram(spark):
