@@ -20,7 +20,7 @@ def shared_dir(spark: SparkSession) -> str:
         return at.rstrip("/")
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        if not sc.master.startswith("local"):
+        if sc.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="quirespark-"))
     return sc.getCheckpointDir().rstrip("/")
