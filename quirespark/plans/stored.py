@@ -23,7 +23,7 @@ def folder(spark: SparkSession) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return f"{shared.rstrip('/')}/files-{uuid.uuid4().hex}"
-    if not spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master.split("[")[0] != "local":
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     at = tempfile.mkdtemp(prefix="quirespark-files-")
     atexit.register(shutil.rmtree, at, ignore_errors=True)
