@@ -130,7 +130,7 @@ def page_elements(blocks: DataFrame) -> DataFrame:
 
 
 def process_page(texts: DataFrame, images: DataFrame, tables: DataFrame, lines: DataFrame, show_lines: bool = False, page: str = "page", predicted: DataFrame | None = None) -> DataFrame:
-    """The whole page: tables give way to images, texts are merged and give way to tables, lines may join images as vector graphics; one ordered list.
+    """The whole page: tables give way to images, texts are merged and give way to tables, lines may join images as vector graphics, which take in no table; one ordered list.
 
     Tables as predicted, before their borders were snapped, come last where they are given, and take no part in the rest.
     """
@@ -139,10 +139,12 @@ def process_page(texts: DataFrame, images: DataFrame, tables: DataFrame, lines:
     tables = without_overlaps(tables, images, 0.3, keys)
     merged = merge_texts(texts, tables, page=page).withColumn("idx", F.col("ord").cast("long"))
     kept = without_overlaps(merged, tables, 0.3, keys)
-    part = lambda df, t: df.select(page, F.col("idx").cast("long").alias("idx"), F.lit(t).alias("type"), *BOX)
-    parts = part(tables, "table").unionByName(part(images, "image")).unionByName(part(kept, "text"))
+    part = lambda df, t, k=0: df.select(page, (F.col("idx").cast("long") + F.lit(k << 40)).alias("idx"), F.lit(t).alias("type"), *BOX)
+    # images come before texts, and texts before lines
+    parts = part(images, "image", 0).unionByName(part(kept, "text", 1))
     if show_lines:
-        parts = merge_vector_graphics(parts.unionByName(part(lines, "original_line")), page=page).select(page, F.col("ord").cast("long").alias("idx"), "type", *BOX)
+        parts = merge_vector_graphics(parts.unionByName(part(lines, "original_line", 2)), page=page).select(page, F.col("ord").cast("long").alias("idx"), "type", *BOX)
+    parts = part(tables, "table").unionByName(parts)
     if predicted is not None:
         parts = parts.unionByName(part(predicted, "original_qwen_table"))
     return priority_union(parts, keys)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quirespark.functions.geometry import box, min_distance
 from quirespark.operators import elements as E
 from quirespark.operators import snapping
+from quirespark.plans import folds
 from quirespark.plans.inputs import EL, EL_LINES, RATIO, elements, lines, longs
 
 
@@ -102,7 +103,7 @@ b AS (SELECT page, idx, x1, y1, x2, y2, any_value(small) AS small,
   min({{'d': abs(x - x1), 'o': line_ord, 'p': x, 'lo': ylo, 'hi': yhi}}) FILTER (is_left) AS l, min({{'d': abs(x - x2), 'o': line_ord, 'p': x, 'lo': ylo, 'hi': yhi}}) FILTER (is_right) AS r,
   min({{'d': abs(y - y1), 'o': line_ord, 'p': y, 'lo': xlo, 'hi': xhi}}) FILTER (is_top) AS t, min({{'d': abs(y - y2), 'o': line_ord, 'p': y, 'lo': xlo, 'hi': xhi}}) FILTER (is_bottom) AS bo,
   min({{'o': line_ord, 'x1': mx1, 'y1': my1, 'x2': mx2, 'y2': my2}}) FILTER (is_rect) AS re FROM q GROUP BY ALL)"""
-_SNAP = f"""{_PAIRS},
+_SNAP_STEPS = f"""{_PAIRS},
 a AS (SELECT b.page, b.idx, min({{'d': abs(q.y - (b.t.p + b.y2 - b.y1)), 'o': q.line_ord, 'p': q.y}}) AS ag FROM b JOIN q ON b.page = q.page AND b.idx = q.idx
   WHERE b.small AND b.t IS NOT NULL AND q.flat AND q.broad AND abs(q.y - (b.t.p + b.y2 - b.y1)) <= 29.7 AND q.y >= b.t.p + b.y2 - b.y1 - greatest((b.y2 - b.y1) * 0.5, 30) GROUP BY ALL),
 f AS (SELECT b.*, b.small AND b.t IS NOT NULL AS moved, a.ag, b.l IS NOT NULL AS fl, b.r IS NOT NULL AS fr, b.t IS NOT NULL AS ft, (b.small AND b.t IS NOT NULL) OR b.bo IS NOT NULL AS fb FROM b LEFT JOIN a USING (page, idx)),
@@ -113,9 +114,33 @@ k AS (SELECT *,
   CASE WHEN abs(alo - l0) <= 30 AND abs(alo - l0) > 2 AND (NOT fl OR abs(alo - x1) < abs(l0 - x1)) THEN alo ELSE l0 END AS l1,
   CASE WHEN abs(ahi - r0) <= 30 AND abs(ahi - r0) > 2 AND (NOT fr OR abs(ahi - x2) < abs(r0 - x2)) THEN ahi ELSE r0 END AS r1,
   CASE WHEN (NOT ft OR abs(vlo - y1) < abs(t0 - y1)) AND abs(vlo - t0) > 2 THEN vlo ELSE t0 END AS t1,
-  CASE WHEN (NOT fb OR abs(vhi - y2) < abs(b0 - y2)) AND abs(vhi - b0) > 2 THEN vhi ELSE b0 END AS b1 FROM g)
-SELECT page, idx, CASE WHEN re IS NOT NULL THEN re.x1 WHEN n >= 2 THEN least(l1, r1) ELSE x1 END AS x1, CASE WHEN re IS NOT NULL THEN re.y1 WHEN n >= 2 THEN least(t1, b1) ELSE y1 END AS y1,
+  CASE WHEN (NOT fb OR abs(vhi - y2) < abs(b0 - y2)) AND abs(vhi - b0) > 2 THEN vhi ELSE b0 END AS b1 FROM g)"""
+_SNAP = """SELECT page, idx, CASE WHEN re IS NOT NULL THEN re.x1 WHEN n >= 2 THEN least(l1, r1) ELSE x1 END AS x1, CASE WHEN re IS NOT NULL THEN re.y1 WHEN n >= 2 THEN least(t1, b1) ELSE y1 END AS y1,
   CASE WHEN re IS NOT NULL THEN re.x2 WHEN n >= 2 THEN greatest(l1, r1) ELSE x2 END AS x2, CASE WHEN re IS NOT NULL THEN re.y2 WHEN n >= 2 THEN greatest(t1, b1) ELSE y2 END AS y2, re IS NOT NULL OR n >= 2 AS refined FROM k"""
+
+
+def _recursive(sql: str) -> str:
+    return sql.replace("WITH el", "WITH RECURSIVE el", 1)
+
+
+_NMS = f"""i AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY (x2 - x1) * (y2 - y1) DESC, idx) AS k FROM el WHERE type = 'image'),
+ walk AS (SELECT page, k, [{{'idx': idx, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}] AS kept FROM i WHERE k = 1
+  UNION ALL SELECT b.page, b.k, CASE WHEN len(list_filter(w.kept, lambda a: {RATIO} > 0.8)) > 0 THEN w.kept ELSE list_append(w.kept, {{'idx': b.idx, 'x1': b.x1, 'y1': b.y1, 'x2': b.x2, 'y2': b.y2}}) END
+  FROM walk w JOIN i b ON b.page = w.page AND b.k = w.k + 1),
+ last AS (SELECT page, arg_max(kept, k) AS kept FROM walk GROUP BY page),
+ flat AS (SELECT page, unnest(range(len(kept))) AS idx, unnest(kept) AS e FROM last)"""
+#: The whole page: im, tb, tx, ca are the images, tables, texts and candidates for vector graphics that are left.
+_PROCESS = f"""{_recursive(_SNAP_STEPS)}, sn AS ({_SNAP}), {_NMS},
+ im AS (SELECT page, idx, e.x1 AS x1, e.y1 AS y1, e.x2 AS x2, e.y2 AS y2 FROM flat),
+ tb AS (SELECT a.page, a.idx, a.x1, a.y1, a.x2, a.y2 FROM sn a WHERE NOT EXISTS (SELECT 1 FROM im b WHERE b.page = a.page AND {RATIO} > 0.3)),
+ raw AS (SELECT page, idx, x1, y1, x2, y2, '' AS content FROM el WHERE type = 'text'),
+ {folds.merged_texts('raw', 'tb')},
+ tx AS (SELECT a.* FROM (SELECT page, ord AS idx, e.x1 AS x1, e.y1 AS y1, e.x2 AS x2, e.y2 AS y2 FROM mt) a WHERE NOT EXISTS (SELECT 1 FROM tb b WHERE b.page = a.page AND {RATIO} > 0.3)),
+ ca AS (SELECT page, {{'k': 1, 'i': idx}} AS idx, 'image' AS type, x1, y1, x2, y2 FROM im UNION ALL SELECT page, {{'k': 2, 'i': idx}}, 'text', x1, y1, x2, y2 FROM tx
+  UNION ALL SELECT page, {{'k': 3, 'i': idx}}, type, x1, y1, x2, y2 FROM el WHERE type = 'original_line'),
+ {folds.vector_graphics('ca')},
+ al AS (SELECT page, idx, 'table' AS type, x1, y1, x2, y2 FROM tb UNION ALL SELECT page, ord, e.t, e.x1, e.y1, e.x2, e.y2 FROM vg)
+SELECT page, row_number() OVER (PARTITION BY page ORDER BY CASE type WHEN 'table' THEN 1 WHEN 'vector_graphic' THEN 2 WHEN 'image' THEN 3 WHEN 'text' THEN 4 ELSE 5 END, idx) AS ord, type, x1, y1, x2, y2 FROM al"""
 _COUNTS = """CAST(count(*) FILTER (type = 'text') AS BIGINT) AS {p}text, CAST(count(*) FILTER (type = 'image') AS BIGINT) AS {p}image, CAST(count(*) FILTER (type = 'table') AS BIGINT) AS {p}table,
  CAST(count(*) FILTER (type = 'original_line') AS BIGINT) AS {p}line, CAST(count(*) FILTER (type = 'vector_graphic') AS BIGINT) AS {p}vector,
  CAST(count(*) FILTER (type IN ('text', 'image', 'table')) AS BIGINT) AS {p}elements, CAST(count(*) FILTER (type IN ('text', 'image', 'table', 'vector_graphic')) AS BIGINT) AS {p}all"""
@@ -129,19 +154,18 @@ ORACLES = {
         SELECT page, a_idx, b_idx, round(sqrt(dx * dx + dy * dy), 9) AS distance, sqrt(dx * dx + dy * dy) < 5 AS near FROM d""",
     "text_minus_tables": f"{EL} SELECT a.* FROM el a WHERE a.type = 'text' AND NOT EXISTS (SELECT 1 FROM el b WHERE b.page = a.page AND b.type = 'table' AND {RATIO} > 0.3)",
     "tables_minus_images": f"{EL} SELECT a.* FROM el a WHERE a.type = 'table' AND NOT EXISTS (SELECT 1 FROM el b WHERE b.page = a.page AND b.type = 'image' AND {RATIO} > 0.3)",
-    "image_nms": f"""{EL.replace('WITH el', 'WITH RECURSIVE el')}, i AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY (x2 - x1) * (y2 - y1) DESC, idx) AS k FROM el WHERE type = 'image'),
-        walk AS (SELECT page, k, [{{'idx': idx, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}}] AS kept FROM i WHERE k = 1
-          UNION ALL SELECT b.page, b.k, CASE WHEN len(list_filter(w.kept, lambda a: {RATIO} > 0.8)) > 0 THEN w.kept ELSE list_append(w.kept, {{'idx': b.idx, 'x1': b.x1, 'y1': b.y1, 'x2': b.x2, 'y2': b.y2}}) END
-          FROM walk w JOIN i b ON b.page = w.page AND b.k = w.k + 1),
-        last AS (SELECT page, arg_max(kept, k) AS kept FROM walk GROUP BY page),
-        flat AS (SELECT page, unnest(range(len(kept))) AS idx, unnest(kept) AS e FROM last)
-        SELECT page, CAST(idx AS BIGINT) AS idx, CAST(e.idx AS BIGINT) AS source_idx, e.x1 AS x1, e.y1 AS y1, e.x2 AS x2, e.y2 AS y2 FROM flat""",
+    "image_nms": f"{_recursive(EL)}, {_NMS} SELECT page, CAST(idx AS BIGINT) AS idx, CAST(e.idx AS BIGINT) AS source_idx, e.x1 AS x1, e.y1 AS y1, e.x2 AS x2, e.y2 AS y2 FROM flat",
     "element_union_priority": f"""{EL} SELECT page, row_number() OVER (PARTITION BY page ORDER BY CASE type WHEN 'table' THEN 1 WHEN 'vector_graphic' THEN 2 WHEN 'image' THEN 3 WHEN 'text' THEN 4 WHEN 'original_line' THEN 5 ELSE 6 END, idx) AS ord, type, idx,
         row_number() OVER (PARTITION BY page, type ORDER BY idx) - 1 AS new_idx FROM el""",
     "element_summary": f"{EL} SELECT page, {_COUNTS.format(p='n_')} FROM el GROUP BY page",
     "element_totals": f"{EL} SELECT count(DISTINCT page) AS total_pages, {_COUNTS.format(p='total_')} FROM el",
     "component_histogram": f"""{EL}, t AS (SELECT page, type, count(*) AS n, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM el GROUP BY page, type)
         SELECT page, string_agg(type || ':' || n, ',' ORDER BY type) AS component_types, CAST(sum(n) AS BIGINT) AS component_count, min(x1) AS x1, min(y1) AS y1, max(x2) AS x2, max(y2) AS y2 FROM t GROUP BY page""",
+    "text_merge": f"""{_recursive(EL)}, raw AS (SELECT *, 't' || idx AS content FROM el WHERE type = 'text'), tb AS (SELECT * FROM el WHERE type = 'table'), {folds.merged_texts('raw', 'tb')}
+        SELECT page, ord, e.x1 AS x1, e.y1 AS y1, e.x2 AS x2, e.y2 AS y2, e.c AS content, e.n AS n_merged FROM mt""",
+    "vector_graphics": f"""{_recursive(EL)}, {folds.vector_graphics('el')}
+        SELECT page, ord, e.t AS type, e.x1 AS x1, e.y1 AS y1, e.x2 AS x2, e.y2 AS y2, e.types AS component_types, e.n AS n_details, e.n AS component_count FROM vg""",
+    "page_process": _PROCESS,
     "snap_nearest": f"""{_PAIRS} SELECT page, idx, l.o AS left_line, l.p AS left_pos, r.o AS right_line, r.p AS right_pos, t.o AS top_line, t.p AS top_pos, bo.o AS bottom_line, bo.p AS bottom_pos, re.o AS rect_line FROM b""",
-    "snap_refined": _SNAP,
+    "snap_refined": f"{_SNAP_STEPS} {_SNAP}",
 }

@@ -110,6 +110,16 @@ def test_process_page_orders_by_priority(spark):
         assert [(r.x1, r.y1, r.x2, r.y2) for r in got if r.type == "original_qwen_table"] == [(2, 98, 297, 305), (5, 5, 90, 90)]
 
 
+def test_process_page_keeps_tables_out_of_vector_graphics(spark):
+    from pyspark.sql import functions as F
+
+    df = frame(spark, [(1, "image", (0, 40, 40, 60)), (1, "original_line", (15, 50, 45, 50)), (1, "table", (41, 40, 49, 70))])
+    of = lambda t: df.filter(F.col("type") == t).withColumn("content", F.lit("x"))
+    assert E.merge_vector_graphics(df).first().component_types == {"image": 1, "original_line": 1, "table": 1}
+    got = E.process_page(of("text"), of("image"), of("table"), of("original_line"), True).orderBy("ord").collect()
+    assert [(r.type, r.x1, r.y1, r.x2, r.y2) for r in got] == [("table", 41, 40, 49, 70), ("vector_graphic", 0, 40, 45, 60)]
+
+
 def test_summary_and_histogram(spark):
     df = frame(spark, [(1, "text", (0, 0, 1, 1)), (1, "text", (5, 5, 9, 9)), (1, "vector_graphic", (1, 1, 2, 2)), (2, "image", (0, 0, 3, 3))])
     got = {r.page: r for r in E.summary(df).collect()}
