@@ -129,24 +129,23 @@ def page_elements(blocks: DataFrame) -> DataFrame:
     return blocks.withColumn("type", kind).filter(F.col("type").isNotNull()).withColumn("content", F.when(F.col("type") == "text", block_text(F.col("lines"))))
 
 
-def process_page(texts: DataFrame, images: DataFrame, tables: DataFrame, lines: DataFrame, show_lines: bool = False, page: str = "page", predicted: DataFrame | None = None) -> DataFrame:
-    """The whole page: tables give way to images, texts are merged and give way to tables, lines may join images as vector graphics, which take in no table; one ordered list.
+def whole_page(elements: DataFrame, show_lines: bool = False, page: str = "page") -> DataFrame:
+    """(page, idx, type, x1, y1, x2, y2, ord): the whole page, in one shuffle. elements: page, idx, type, box and content; pages are numbers.
 
-    Tables as predicted, before their borders were snapped, come last where they are given, and take no part in the rest.
+    Tables give way to images, of which the largest stay; texts are merged and give way to tables; lines, where they are shown, may join
+    images and texts as vector graphics, which take in no table. One list, in the order of priority_union(). Tables as predicted
+    take no part in the rest. Elements of other types go.
     """
-    keys = (page,)
-    images = suppress_duplicates(images, page=keys).withColumn("idx", F.col("idx").cast("long"))
-    tables = without_overlaps(tables, images, 0.3, keys)
-    merged = merge_texts(texts, tables, page=page).withColumn("idx", F.col("ord").cast("long"))
-    kept = without_overlaps(merged, tables, 0.3, keys)
-    part = lambda df, t, k=0: df.select(page, (F.col("idx").cast("long") + F.lit(k << 40)).alias("idx"), F.lit(t).alias("type"), *BOX)
-    # images come before texts, and texts before lines
-    parts = part(images, "image", 0).unionByName(part(kept, "text", 1))
+    rows = elements.filter(F.col("type").isin(*PRIORITY)).select(page, F.col("idx").cast("long").alias("idx"), "type", *BOX, "content")
+    return _by_page(rows, page, kernels.whole_page(page, show_lines, PRIORITY), "idx long, type string, x1 double, y1 double, x2 double, y2 double, ord int")
+
+
+def process_page(texts: DataFrame, images: DataFrame, tables: DataFrame, lines: DataFrame, show_lines: bool = False, page: str = "page", predicted: DataFrame | None = None) -> DataFrame:
+    """whole_page() of the elements of each kind, which come apart; tables as predicted, before their borders were snapped, come last where they are given."""
+    part = lambda df, t: df.select(page, F.col("idx").cast("long").alias("idx"), F.lit(t).alias("type"), *BOX, (F.col("content") if t == "text" else F.lit(None)).cast("string").alias("content"))
+    parts = part(texts, "text").unionByName(part(images, "image")).unionByName(part(tables, "table"))
     if show_lines:
-        parts = merge_vector_graphics(parts.unionByName(part(lines, "original_line", 2)), page=page).select(page, F.col("ord").cast("long").alias("idx"), "type", *BOX)
-    parts = part(tables, "table").unionByName(parts)
+        parts = parts.unionByName(part(lines, "original_line"))
     if predicted is not None:
         parts = parts.unionByName(part(predicted, "original_qwen_table"))
-    return priority_union(parts, keys)
-
-
+    return whole_page(parts, show_lines, page)

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from itertools import groupby
 from operator import itemgetter
 
@@ -102,6 +102,15 @@ def vector_graphics(elements: list[dict], side: float = 30.0, rounds: int = 10)
     return elements
 
 
+def suppressed(boxes: list[Box], threshold: float = 0.8) -> list[Box]:
+    """Non-maximum suppression: largest area first (then as listed), dropping what overlaps a kept one."""
+    kept: list[Box] = []
+    for b in sorted(boxes, key=lambda b: (b[0] - b[2]) * (b[3] - b[1])):
+        if all(ratio(k, b) <= threshold for k in kept):
+            kept.append(b)
+    return kept
+
+
 BOX = ("x1", "y1", "x2", "y2")
 Batches = Iterator[pa.RecordBatch]
 
@@ -162,3 +171,22 @@ def vector_graphics_of_page(page: str, side: float, rounds: int) -> Callable[[li
         return out
 
     return of_page
+
+
+def whole_page(page: str, show_lines: bool, priority: Sequence[str]) -> Callable[[list[dict]], list[dict]]:
+    def of_page(rows: list[dict]) -> list[dict]:
+        of = {t: [r for r in rows if r["type"] == t] for t in priority}
+        images = suppressed([_box(r) for r in of["image"]])
+        tables = [r for r in of["table"] if all(ratio(_box(r), b) <= 0.3 for b in images)]
+        borders = [_box(r) for r in tables]
+        texts = merge_texts([(_box(r), r["content"] or "") for r in of["text"]], borders)
+        found = [{"type": "image", "box": b, "idx": k} for k, b in enumerate(images)]
+        found += [{"type": "text", "box": b, "idx": k} for k, (b, *_) in enumerate(texts) if all(ratio(b, t) <= 0.3 for t in borders)]
+        if show_lines:
+            found = vector_graphics(found + [{"type": "original_line", "box": _box(r), "idx": r["idx"]} for r in of["original_line"]])
+            found = [e | {"idx": k} for k, e in enumerate(found)]
+        found += [{"type": r["type"], "box": _box(r), "idx": r["idx"]} for r in [*tables, *of["original_qwen_table"]]]
+        found.sort(key=lambda e: (priority.index(e["type"]), e["idx"]))
+        return [{page: rows[0][page], "idx": e["idx"], "type": e["type"], **dict(zip(BOX, e["box"], strict=True)), "ord": k} for k, e in enumerate(found, 1)]
+
+    return of_page

@@ -69,10 +69,9 @@ def vector_graphics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def page_process(spark: SparkSession, sf_dir: str) -> DataFrame:
     els = elements(spark, sf_dir)
-    of = lambda t: els.filter(F.col("type") == t)
-    texts = of("text").withColumn("content", F.lit(""))
-    snapped = snapping.snap(of("table"), lines(spark, sf_dir))
-    return longs(E.process_page(texts, of("image"), snapped, of("original_line"), show_lines=True).select("page", "ord", "type", "x1", "y1", "x2", "y2"))
+    snapped = snapping.snap(els.filter("type = 'table'"), lines(spark, sf_dir)).select("page", "idx", F.lit("table").alias("type"), *E.BOX)
+    rows = els.filter("type <> 'table'").unionByName(snapped).withColumn("content", F.lit(""))
+    return longs(E.whole_page(rows, show_lines=True).select("page", "ord", "type", *E.BOX))
 
 
 def snap_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,6 +20,15 @@ def test_a_page_is_shuffled_once(spark, small, name):
     assert len(re.findall(r"\bExchange hashpartitioning", final)) <= (4 if name == "slice_summary" else 3), final
 
 
+def test_a_whole_page_is_shuffled_once(spark, small):
+    """Scans of the elements and of the lines around tables; snapping shuffles each, and the page is shuffled once more with its snapped tables."""
+    df = registry.QUERIES["page_process"](spark, small)
+    df.collect()
+    final = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert len(re.findall(r"FileScan parquet", final)) <= 3
+    assert len(re.findall(r"\bExchange hashpartitioning", final)) <= 5, final
+
+
 def test_names_that_clash(spark):
     pages = spark.createDataFrame([(1, "<p data-bbox='1 2 3 4'>x</p><img>", "a")], "page_id long, html string, sources string")
     images = spark.createDataFrame([(1, 1, "p.png")], "page_id long, img_ord int, path string")
