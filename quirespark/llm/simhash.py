@@ -12,7 +12,8 @@ nodes, and pairs of nodes are dropped as a whole once the shared bits differ in
 yields a forest, at most one link per fingerprint, and minimum-label stars join the forests across buckets.
 
 keep_one() has the wider rule of corpora, five-word shingles of a similarity of 0.8: two bits of 64 don't tell that, so
-its fingerprints have 256 bits, groups share masked bit patterns (bands), and an exact check of the texts follows.
+its fingerprints have 256 bits, groups share masked bit patterns (bands), and an exact check of the texts follows. Each text is
+first checked with one other of a group; all pairs of a group that the links so found don't join are checked after.
 
 Defined results: null and empty texts have fingerprint zero and are linked like any other; equal rows share a
 component; an empty table gives no rows; columns other than doc_id and text are ignored.
@@ -326,10 +327,11 @@ def band_values(codes: np.ndarray, how: Near) -> np.ndarray:
     return (bits[:, chosen].astype(np.int32) << np.arange(how.band_bits, dtype=np.int32)).sum(axis=2, dtype=np.int32)
 
 
-def nearest_leaders(groups: np.ndarray, codes: np.ndarray, how: Near) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def nearest_leaders(groups: np.ndarray, codes: np.ndarray, how: Near, met: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, its leader) and the leaders: in each run of equal groups a row's nearest leader before it, if near enough.
 
-    The first row of a run leads; whatever differs from a leader in more than how.near bits leads in its turn.
+    The first row of a run leads; whatever differs from a leader in more than how.near bits leads in its turn. `met`, if given, gets
+    True for every row that how.most bits or fewer tell from any other of its run: its leader, or it itself, is within how.near more of it.
     """
     best, leader = np.full(len(groups), how.most + 1), np.full(len(groups), -1)
     live, leaders = np.arange(len(groups)), []
@@ -341,28 +343,36 @@ def nearest_leaders(groups: np.ndarray, codes: np.ndarray, how: Near) -> tuple[n
         differ = np.bitwise_count(codes[live] ^ codes[first]).sum(axis=1, dtype=np.int64)
         closer = differ < best[live]
         best[live[closer]], leader[live[closer]] = differ[closer], first[closer]
+        if met is not None:
+            close = differ <= how.most + how.near
+            met[live[close]] = met[first[close]] = True
         live = live[differ > how.near]
     found = np.flatnonzero(leader >= 0)
     return found, leader[found], np.sort(np.concatenate(leaders))
 
 
 def _leader_batches(how: Near):
-    """Links of (k1, k2, content, code) rows that come sorted by (k1, k2). A bucket that goes on keeps its leaders alone."""
+    """Links of (k1, k2, content, code) rows that come sorted by (k1, k2), and (u, u) of what met others without a link.
+
+    A bucket that goes on keeps its leaders alone, and these go on leading.
+    """
     schema = pa.schema([("u", pa.binary()), ("v", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, names, codes = np.zeros((0, 2), np.int64), np.zeros(0, "V16"), np.zeros((0, how.words), U)
+        keys, names, codes, held = np.zeros((0, 2), np.int64), np.zeros(0, "V16"), np.zeros((0, how.words), U), 0
 
         def linked(last: bool) -> pa.RecordBatch:
-            nonlocal keys, names, codes
+            nonlocal keys, names, codes, held
             new = np.append(True, (keys[1:] != keys[:-1]).any(axis=1))
             group = np.cumsum(new)
-            order = np.lexsort((gray_rank(codes[:, 0]), group))
+            order = np.lexsort((gray_rank(codes[:, 0]), np.arange(len(group)) >= held, group))
             keys, names, codes, group = keys[order], names[order], codes[order], group[order]
-            row, to, leaders = nearest_leaders(group, codes, how)
-            out = [pa.array(names[k].tolist(), pa.binary()) for k in (row, to)]
+            met = np.zeros(len(group), bool)
+            row, to, leaders = nearest_leaders(group, codes, how, met)
+            met[row] = met[to] = False
+            out = [pa.array(names[np.concatenate([k, np.flatnonzero(met)])].tolist(), pa.binary()) for k in (row, to)]
             stay = leaders[group[leaders] == group[-1]] if not last else leaders[:0]
-            keys, names, codes = keys[stay], names[stay], codes[stay]
+            keys, names, codes, held = keys[stay], names[stay], codes[stay], len(stay)
             return pa.RecordBatch.from_arrays(out, schema=schema)
 
         for batch in batches:
@@ -378,21 +388,72 @@ def _leader_batches(how: Near):
     return run, "u binary, v binary"
 
 
-def near_links(contents: DataFrame, how: Near = Near(), bucket: int = BUCKET) -> DataFrame:
-    """(u, v): candidates among contents (content, code, bands). Texts meet in the buckets of their bands.
+def _pair_batches(how: Near):
+    """Of (k1, k2, content, code, label) rows that come sorted by (k1, k2): all pairs of a bucket that are near enough and have two labels."""
+    schema = pa.schema([("u", pa.binary()), ("v", pa.binary())])
+
+    def paired(keys: np.ndarray, names: np.ndarray, codes: np.ndarray, labels: np.ndarray) -> pa.RecordBatch:
+        new = np.append(True, (keys[1:] != keys[:-1]).any(axis=1))
+        first, step, found = np.flatnonzero(new)[np.cumsum(new) - 1], 1, []
+        live = np.arange(len(keys))
+        while len(live := live[live - step >= first[live]]):
+            apart = live[(labels[live] != labels[live - step]).any(axis=1)]
+            near = apart[np.bitwise_count(codes[apart] ^ codes[apart - step]).sum(axis=1, dtype=np.int64) <= how.most]
+            found += [np.stack([near, near - step], 1)] if len(near) else []
+            step += 1
+        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(names[pairs[:, k]].tolist(), pa.binary()) for k in (0, 1)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros((0, 2), np.int64), np.zeros(0, "V16"), np.zeros((0, how.words), U), np.zeros((0, 2), U)]
+        for batch in batches:
+            if batch.num_rows:
+                joined = [b"".join(batch.column(k).to_pylist()) for k in (2, 3, 4)]
+                rows = [np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], 1), np.frombuffer(joined[0], "V16"), np.frombuffer(joined[1], U).reshape(-1, how.words), np.frombuffer(joined[2], U).reshape(-1, 2)]
+                held = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+            if len(held[0]) >= FRONTIER:
+                before = np.flatnonzero((held[0] != held[0][-1]).any(axis=1))
+                if len(before):
+                    yield paired(*(x[: before[-1] + 1] for x in held))
+                    held = [x[before[-1] + 1 :] for x in held]
+        if len(held[0]):
+            yield paired(*held)
+
+    return run, "u binary, v binary"
 
-    A bucket of more than `bucket` texts is dealt again by the other bands, so that it spreads over many tasks.
+
+def _dealt(contents: DataFrame, bucket: int) -> DataFrame:
+    """(k1, k2, the other columns) of contents (content, code, bands, ...), once for each band.
+
+    A bucket of more than `bucket` texts is cut in slices of about so many, and each two of them meet in a cell (k2) of their own: it
+    spreads over many tasks, and any two of its texts still meet.
     """
-    keyed = contents.select("content", "code", F.posexplode("bands").alias("band", "value"))
-    hot = settled(keyed.groupBy("band", "value").count().filter(F.col("count") > bucket).select("band", "value"))
+    rest = [c for c in contents.columns if c != "bands"]
+    keyed = contents.select(*rest, F.posexplode("bands").alias("band", "value"))
+    hot = settled(keyed.groupBy("band", "value").count().filter(F.col("count") > bucket).select("band", "value", F.ceil(F.col("count") / bucket).alias("slices")))
     side = F.broadcast(hot) if hot.count() <= HOT_BROADCAST else hot
     k1 = F.shiftleft(F.col("band").cast("long"), 32).bitwiseOR(F.col("value").cast("long")).alias("k1")
-    once = keyed.join(side, ["band", "value"], "left_anti").select(k1, F.lit(0).cast("long").alias("k2"), "content", "code")
-    again = keyed.select("content", "band", "value").join(side, ["band", "value"], "left_semi").join(contents, "content")
-    again = again.select(k1, "band", "content", "code", F.posexplode("bands").alias("other", "its")).filter("other <> band")
-    again = again.select("k1", F.shiftleft((F.col("other") + 1).cast("long"), 32).bitwiseOR(F.col("its").cast("long")).alias("k2"), "content", "code")
+    once = keyed.join(side, ["band", "value"], "left_anti").select(k1, F.lit(0).cast("long").alias("k2"), *rest)
+    cut = keyed.join(side, ["band", "value"]).withColumn("own", F.pmod(F.xxhash64("content"), "slices"))
+    cells = cut.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices") - 1)).alias("other"))
+    again = cells.select(k1, (F.least("own", "other") * F.col("slices") + F.greatest("own", "other") + 1).alias("k2"), *rest)
+    return once.unionByName(again).repartition("k1", "k2").sortWithinPartitions("k1", "k2")
+
+
+def near_links(contents: DataFrame, how: Near = Near(), bucket: int = BUCKET) -> DataFrame:
+    """(u, v): candidates among contents (content, code, bands), one a text at most in each bucket of its bands.
+
+    Whatever could be near any other text of a bucket is there, if without a link as (u, u): rest_links() looks at these again.
+    """
     run, schema = _leader_batches(how)
-    return once.unionByName(again).repartition("k1", "k2").sortWithinPartitions("k1", "k2").mapInArrow(run, schema).distinct()
+    return _dealt(contents, bucket).mapInArrow(run, schema).distinct()
+
+
+def rest_links(contents: DataFrame, how: Near = Near(), bucket: int | None = None) -> DataFrame:
+    """(u, v): all candidates among contents (content, code, bands, label) of which the labels differ."""
+    run, schema = _pair_batches(how)
+    pairs = _dealt(contents, BUCKET if bucket is None else bucket).select("k1", "k2", "content", "code", "label").mapInArrow(run, schema)
+    return pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
 def alike(one: np.ndarray, other: np.ndarray, percent: int) -> bool:
@@ -446,20 +507,31 @@ def keep_one(docs: DataFrame, how: Near = Near()) -> DataFrame:
     """Of the rows that near copies join the one of least doc_id, with all its columns (nulls last, then the least content).
 
     Near copies share `how.percent` of their distinct `how.width`-word shingles at least. Wide fingerprints propose them:
-    in each bucket a text is linked with the nearest one before it, and the links whose texts aren't similar are dropped.
+    in each bucket a text is linked with the nearest one before it, then with all that are near enough and not joined to it yet, and
+    the links whose texts aren't similar are dropped.
     Null, empty and blank texts are copies of each other; of equal rows one stays.
     """
     content, first, first_id = fresh(docs, "content", "first", "first_id")
     named = docs.withColumn(content, F.unhex(F.md5(F.coalesce("text", F.lit("")))))
     rows = named.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(content).alias("content"), "text")
     contents = settled(rows.mapInArrow(*_wide_batches(how)).groupBy("content").agg(F.min("doc_id").alias("least"), F.first("code").alias("code"), F.first("bands").alias("bands"), F.count("*").alias("n")))
+
+    def similar(links: DataFrame) -> DataFrame:
+        met = links.select(F.explode(F.array("u", "v")).alias("content")).distinct()
+        wanted = contents.join(met, "content").select(F.col("least").alias("its_id"), F.col("content").alias("wanted"))
+        texts = rows.join(wanted, (F.col("content") == F.col("wanted")) & F.col("doc_id").eqNullSafe(F.col("its_id")), "left_semi").select("content", "text").dropDuplicates(["content"])
+        pairs = links.join(texts.select(F.col("content").alias("u"), F.col("text").alias("one")), "u").join(texts.select(F.col("content").alias("v"), F.col("text").alias("other")), "v")
+        return pairs.select("u", "v", "one", "other").mapInArrow(*_alike_batches(how))
+
     links = settled(near_links(contents.select("content", "code", "bands"), how))
+    edges = settled(similar(links.filter("u <> v")))
+    labels = components(edges)
+    # each text was tried with one other of a bucket; what these links don't join already is tried with all
     met = links.select(F.explode(F.array("u", "v")).alias("content")).distinct()
-    wanted = contents.join(met, "content").select(F.col("least").alias("its_id"), F.col("content").alias("wanted"))
-    texts = rows.join(wanted, (F.col("content") == F.col("wanted")) & F.col("doc_id").eqNullSafe(F.col("its_id")), "left_semi").select("content", "text").dropDuplicates(["content"])
-    pairs = links.join(texts.select(F.col("content").alias("u"), F.col("text").alias("one")), "u").join(texts.select(F.col("content").alias("v"), F.col("text").alias("other")), "v")
-    similar = pairs.select("u", "v", "one", "other").mapInArrow(*_alike_batches(how))
-    labels = components(similar)
+    again = contents.join(met, "content").join(labels, F.col("content") == F.col("node"), "left").select("content", "code", "bands", F.coalesce("label", "content").alias("label"))
+    rest = settled(rest_links(again, how))
+    if rest.count():
+        labels = components(edges.unionByName(similar(rest)))
     labelled = contents.join(labels, F.col("content") == F.col("node"), "left").select(F.coalesce("label", "content").alias("label"), F.struct(F.col("least").isNull(), F.col("least").alias("id"), F.col("content").alias("content")).alias("row"), "n")
     firsts = settled(labelled.groupBy("label").agg(F.min_by(F.struct("row.id", "row.content", "n"), "row").alias("row")).select(F.col("row.id").alias(first_id), F.col("row.content").alias(first), F.col("row.n").alias("n")))
     same = (F.col(content) == F.col(first)) & F.col("doc_id").cast("long").eqNullSafe(F.col(first_id))

@@ -2,6 +2,7 @@ import itertools
 
 import corpus_pipeline
 import numpy as np
+import pyarrow as pa
 import pytest
 from helpers import awkward, documents
 
@@ -112,6 +113,48 @@ def test_hot_groups(spark, bucket, monkeypatch):
     assert {r.doc_id for r in simhash.keep_one(docs).collect()} == {0, *range(300, 350)}
 
 
+def test_large_buckets_keep_every_candidate(spark, monkeypatch):
+    """Pairs at a similarity of 0.8 that meet in buckets of two texts, each of which is over the limit of one."""
+    pairs = near_texts(7, 400, similarity=0.8)
+    docs = documents(spark, [t for p in pairs for t in p])
+    whole = {r.doc_id for r in simhash.keep_one(docs).collect()}
+    monkeypatch.setattr(simhash, "BUCKET", 1)
+    monkeypatch.setattr(simhash.near_links, "__defaults__", (simhash.Near(), 1))
+    assert {r.doc_id for r in simhash.keep_one(docs).collect()} == whole
+
+
+@pytest.mark.parametrize("bucket", [2, 4096])
+def test_a_text_between_two_others_joins_both(spark, bucket, monkeypatch):
+    """Each text is similar to its middle one, not to the others: more links than the nearest of each."""
+    rng = np.random.default_rng(5)
+    texts = []
+    for _ in range(60):
+        words = [f"w{x}" for x in rng.integers(0, 100_000, 300)]
+        places = (rng.permutation(58)[:12] * 5 + 4).tolist()
+        for k in range(4):
+            copy = [*words]
+            for at in places[4 * (k - 1) : 4 * k] if k else []:
+                copy[at] = f"changed{k}"
+            texts.append(" ".join(copy))
+    rows = list(enumerate(rng.permutation(texts).tolist()))
+    want = brute(rows)
+    assert len(want) == 60 and not len(brute([r for r in rows if r[1] not in texts[::4]])) < 180
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
+    monkeypatch.setattr(simhash.near_links, "__defaults__", (simhash.Near(), bucket))
+    assert {r.doc_id for r in simhash.keep_one(documents(spark, [t for _, t in rows])).collect()} == want
+
+
+def test_all_pairs_of_two_labels_against_brute_force():
+    rng = np.random.default_rng(6)
+    how = simhash.Near(words=1, most=10)
+    codes = rng.integers(0, 2**63, 5, dtype=np.uint64)[rng.integers(0, 5, 300)] ^ (np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64))
+    keys, labels = np.sort(rng.integers(0, 12, 300)), rng.integers(0, 3, 300)
+    name = lambda k: int(k).to_bytes(16, "big")
+    batches = [pa.RecordBatch.from_arrays([pa.array(keys[a:b]), pa.array(np.zeros(b - a, np.int64)), *(pa.array([f(x) for x in of[a:b]], pa.binary()) for f, of in ((name, range(300)), (lambda c: c.tobytes(), codes), (name, labels)))], names=list("abcde")) for a, b in ((0, 70), (70, 71), (71, 300))]
+    got = [tuple(sorted((int.from_bytes(u), int.from_bytes(v)))) for x in simhash._pair_batches(how)[0](iter(batches)) for u, v in zip(x.column(0).to_pylist(), x.column(1).to_pylist(), strict=True)]
+    assert sorted(got) == [(i, j) for i, j in itertools.combinations(range(300), 2) if keys[i] == keys[j] and labels[i] != labels[j] and int(codes[i] ^ codes[j]).bit_count() <= 10]
+
+
 def test_nearest_leaders_against_all_pairs():
     rng = np.random.default_rng(3)
     how = simhash.Near(words=1, most=10, near=3)
