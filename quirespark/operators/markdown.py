@@ -112,11 +112,14 @@ def _paragraphs(lines: Column) -> Column:
 
 
 def merged(pages: DataFrame, by: tuple[str, ...] = (), order: str = "page_id") -> DataFrame:
-    """(complete_md, clean_md, n_pages) of documents of pages (complete_md, clean_md): pages in order; empty clean pages are left out, and the whole is cleaned again."""
+    """(complete_md, clean_md, n_pages) of documents of pages (complete_md, clean_md): pages in order; empty clean pages are left out, and the whole is cleaned again.
+
+    That is done by page: blank lines stand between pages, over which no lines join, and a page that this empties leaves none.
+    """
+    pages = pages.withColumn("clean_md", clean(F.col("clean_md")))
 
     def ordered(column: str, separator: str, skip_empty: bool) -> Column:
         rows = F.array_sort(F.collect_list(F.when(~is_blank(F.col(column)), F.struct(order, column)) if skip_empty else F.struct(order, column)))
         return F.array_join(F.transform(rows, lambda r: r[column]), separator)
 
-    out = pages.groupBy(*by).agg(ordered("complete_md", "\n\n", False).alias("complete_md"), ordered("clean_md", "\n\n", True).alias("clean_md"), F.count("*").alias("n_pages"))
-    return out.withColumn("clean_md", clean(F.col("clean_md")))
+    return pages.groupBy(*by).agg(ordered("complete_md", "\n\n", False).alias("complete_md"), ordered("clean_md", "\n\n", True).alias("clean_md"), F.count("*").alias("n_pages"))

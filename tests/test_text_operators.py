@@ -367,3 +367,17 @@ def test_rasters_slices_and_conversion(spark):
     assert [bytes(r.image) for r in got] == [b"page\x00\x01\x02\x03"] and got[0].image_error is None
     bad = images.as_jpeg(pages, convert=lambda content: 1 / 0).first()
     assert bad.jpeg is None and bad.jpeg_error.startswith("ZeroDivisionError")
+
+
+def test_merged_is_cleaned_by_page(spark):
+    """The same as cleaning the joined text, without an array of all of its lines; a comment that joined lines make goes with its page."""
+    texts = ["one\n\n", None, "<!-- a\nb -->", "two,\nthree", " \n", "four\n<!-- x\ny -->\n\nfive", "lower\n---\n", "<!-- c\n\nd -->", "---", "- item\nnext\n\n<!-- e\nf -->"]
+    for own in (texts, texts[::-1], texts[2:3], texts[4:6]):
+        pages = spark.createDataFrame(list(enumerate(own)), "page_id long, complete_md string").withColumn("clean_md", markdown.clean(F.col("complete_md")))
+        rows = [r.clean_md for r in pages.orderBy("page_id").collect()]
+        joined = "\n\n".join(c for c in rows if c is not None and c.strip())
+        want = spark.createDataFrame([(joined,)], "md string").select(markdown.clean(F.col("md"))).first()[0]
+        out = markdown.merged(pages)
+        assert out.first().clean_md == want
+    lines = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "split" not in next(x for x in lines.splitlines() if "Aggregate" in x)
