@@ -30,9 +30,20 @@ def bbox_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     return longs(whole.select("doc_id", "source_file", "summary.*").join(back, "doc_id", "left"))
 
 
+def _documents(spark: SparkSession) -> DataFrame:
+    return spark.range(100).select(F.col("id").alias("doc_id"), F.concat(F.lit("in"), F.col("id").cast("string")).alias("source_file"), F.lit("out").alias("output_file"), F.lit("2025-01-01 00:00:00").alias("creation_time"), F.lit(100).alias("total_pages"))
+
+
 def metadata_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.range(100).select(F.col("id").alias("doc_id"), F.concat(F.lit("in"), F.col("id").cast("string")).alias("source_file"), F.lit("out").alias("output_file"), F.lit("2025-01-01 00:00:00").alias("creation_time"), F.lit(100).alias("total_pages"))
-    return sinks.metadata(_described(spark, sf_dir), docs)
+    return sinks.metadata(_described(spark, sf_dir), _documents(spark))
+
+
+def metadata_in_parts(spark: SparkSession, sf_dir: str, pages: int = 2000) -> DataFrame:
+    """Metadata of so many pages of a document at most in a row, which needs no more memory as documents grow; doc_id tells parts apart."""
+    part = lambda page: F.floor(F.col(page) / (100 * pages)) * 100
+    parts = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 100).alias("doc_id"), part("l_orderkey").alias("part")).distinct()
+    docs = _documents(spark).join(parts, "doc_id", "left").withColumn("doc_id", F.col("doc_id") + F.coalesce("part", F.lit(0))).drop("part")
+    return sinks.metadata(_described(spark, sf_dir).withColumn("doc_id", F.col("doc_id") + part("page_number")), docs)
 
 
 def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quirespark.functions.geometry import Box, box, dpi_zoom, in_dense_window, line_box, rescaled
 from quirespark.plans.inputs import EL, EL_LINES, elements, lines, longs, table
 from quirespark.plans.outputs import ORACLES as OUTPUTS
-from quirespark.plans.outputs import metadata_of_documents
+from quirespark.plans.outputs import metadata_in_parts
 from quirespark.sources import files, sinks
 
 
@@ -78,12 +78,14 @@ def file_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def file_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metadata documents written as JSON and read back: a document's summary with what its elements add up to."""
+    """Metadata documents written as JSON, a file for so many pages of each, and read back: a document's summary with what its elements add up to."""
     path = folder(spark)
-    sinks.write_json(metadata_of_documents(spark, sf_dir), path, ["doc_id"])
+    sinks.write_json(metadata_in_parts(spark, sf_dir), path, ["doc_id"])
     whole = files.metadata_documents(spark, path)
     back = files.metadata_elements(whole).groupBy("source_file").agg(F.count("*").alias("n_elements"), F.sum(F.length("content")).alias("n_chars"), F.sum("confidence").alias("confidence"), F.count_if(F.col("label") == "T").alias("n_labelled"))
-    return longs(whole.select(F.substring("source_file", 3, 20).cast("long").alias("doc_id"), "source_file", "summary.*").join(back, "source_file", "left"))
+    counts = [f.name for f in whole.schema["summary"].dataType.fields]
+    documents = whole.groupBy("source_file").agg(*(F.sum(f"summary.{n}").alias(n) for n in counts))
+    return longs(documents.select(F.substring("source_file", 3, 20).cast("long").alias("doc_id"), "source_file", *counts).join(back, "source_file", "left"))
 
 
 def image_detail_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

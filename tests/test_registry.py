@@ -51,3 +51,15 @@ def test_references_cut_before_their_semicolon(spark, tmp_path):
     want = {1: "# a&&amp\n", 2: "# b &lt\n", 3: '# "c & d"&am\n', 4: "# e &lt; f\n"}
     assert dict(registry.QUERIES["html_heading_markdown"](spark, str(tmp_path)).collect()) == want
     assert dict(c.sql(registry.ORACLES["html_heading_markdown"]).fetchall()) == {k: v for k, v in want.items() if v}
+
+
+def test_metadata_files_hold_so_many_pages(spark, small, duck, monkeypatch):
+    """Documents of many parts add up to what the SQL says, and no row has more pages than a part."""
+    from quirespark.plans import outputs, stored
+
+    parts = outputs.metadata_in_parts(spark, small, 4)
+    assert parts.selectExpr("max(size(pages))").first()[0] <= 4 and parts.count() > 200
+    monkeypatch.setattr(stored, "metadata_in_parts", lambda s, d: outputs.metadata_in_parts(s, d, 4))
+    df = registry.QUERIES["file_metadata"](spark, small)
+    r = duck.sql(registry.ORACLES["file_metadata"])
+    assert sorted(repr(tuple(x)) for x in df.select(*r.columns).collect()) == sorted(map(repr, r.fetchall()))
