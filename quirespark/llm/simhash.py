@@ -13,7 +13,8 @@ yields a forest, at most one link per fingerprint, and minimum-label stars join
 
 keep_one() has the wider rule of corpora, five-word shingles of a similarity of 0.8: two bits of 64 don't tell that, so
 its fingerprints have 256 bits, groups share masked bit patterns (bands), and an exact check of the texts follows. Each text is
-first checked with one other of a group; all pairs of a group that the links so found don't join are checked after.
+first checked with one other of a group; of the pairs of a group that the links so found don't join, those are checked after which
+the parities of their shingles (sketches) don't prove to be unlike.
 
 Defined results: null and empty texts have fingerprint zero and are linked like any other; equal rows share a
 component; an empty table gives no rows; columns other than doc_id and text are ignored.
@@ -36,6 +37,8 @@ U = np.uint64
 LANES = U(0x0101010101010101)
 #: Hashes that are counted at once, fingerprints of a (block, value) that aren't dealt again, children of a node.
 COUNTED, BUCKET, FANOUT, FRONTIER = 1 << 18, 4096, 8, 1 << 18
+#: Places of a sketch at most, and pairs that are gathered for a look at their sketches.
+SKETCH, GATHERED = 1 << 14, 1 << 16
 #: A fingerprint of more than one in so many rows is hot.
 HOT_SHARE = 1000
 #: Hot buckets that are broadcast at most; beyond, they are joined.
@@ -318,6 +321,33 @@ def wide_fingerprints(sets: list[np.ndarray], words: int) -> np.ndarray:
     return out
 
 
+def sketch(shingles: np.ndarray) -> bytes:
+    """The parities of a set's hashes by their last bits: two places or more for each hash, 2^14 at most.
+
+    Each place in which two sketches differ holds a hash that one set has alone, so they differ in no more places than the sets in hashes.
+    """
+    places = min(SKETCH, max(64, 1 << (2 * len(shingles) - 1).bit_length()))
+    odd = np.bincount((shingles & U(places - 1)).astype(np.int64), minlength=places) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def maybe_alike(pairs: np.ndarray, sizes: np.ndarray, sketches: np.ndarray, percent: int) -> np.ndarray:
+    """Of the pairs (two columns of rows) those that sizes and sketches don't prove to be less similar than `percent`."""
+    total = sizes[pairs].sum(axis=1)
+    common = -(-percent * total // (100 + percent))
+    pairs, most = (x[sizes[pairs].min(axis=1) >= common] for x in (pairs, total - 2 * common))
+    # the longer sketch is folded to the shorter one's places
+    width = np.array([len(x) for x in sketches])[pairs].min(axis=1)
+    keep = np.zeros(len(pairs), bool)
+    for w in np.unique(width).tolist():
+        at = np.flatnonzero(width == w)
+        used, where = np.unique(pairs[at].ravel(), return_inverse=True)
+        rows = np.stack([np.bitwise_xor.reduce(np.frombuffer(sketches[k], U).reshape(-1, w // 8), axis=0) for k in used])
+        for some, two in zip(*(np.array_split(x, -(-len(at) * w // (8 * COUNTED))) for x in (at, where.reshape(-1, 2))), strict=True):
+            keep[some] = np.bitwise_count(rows[two[:, 0]] ^ rows[two[:, 1]]).sum(axis=1, dtype=np.int64) <= most[some]
+    return pairs[keep]
+
+
 def band_values(codes: np.ndarray, how: Near) -> np.ndarray:
     """The values of the bands: fixed choices of bits."""
     bits = np.unpackbits(codes.view(np.uint8), axis=1, bitorder="little")
@@ -389,35 +419,43 @@ def _leader_batches(how: Near):
 
 
 def _pair_batches(how: Near):
-    """Of (k1, k2, content, code, label) rows that come sorted by (k1, k2): all pairs of a bucket that are near enough and have two labels."""
+    """Of (k1, k2, content, code, label) rows that come sorted by (k1, k2): all pairs of a bucket that are near enough and have two labels.
+
+    Rows that have (size, sketch) besides leave out the pairs that these prove to be unlike.
+    """
     schema = pa.schema([("u", pa.binary()), ("v", pa.binary())])
 
-    def paired(keys: np.ndarray, names: np.ndarray, codes: np.ndarray, labels: np.ndarray) -> pa.RecordBatch:
+    def paired(keys: np.ndarray, names: np.ndarray, codes: np.ndarray, labels: np.ndarray, *sketched: np.ndarray) -> Iterator[pa.RecordBatch]:
         new = np.append(True, (keys[1:] != keys[:-1]).any(axis=1))
-        first, step, found = np.flatnonzero(new)[np.cumsum(new) - 1], 1, []
+        first, step, found, gathered = np.flatnonzero(new)[np.cumsum(new) - 1], 1, [], 0
         live = np.arange(len(keys))
-        while len(live := live[live - step >= first[live]]):
+        while len(live) or found:
+            live = live[live - step >= first[live]]
             apart = live[(labels[live] != labels[live - step]).any(axis=1)]
             near = apart[np.bitwise_count(codes[apart] ^ codes[apart - step]).sum(axis=1, dtype=np.int64) <= how.most]
             found += [np.stack([near, near - step], 1)] if len(near) else []
+            gathered += len(near)
             step += 1
-        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(names[pairs[:, k]].tolist(), pa.binary()) for k in (0, 1)], schema=schema)
+            if found and (gathered >= GATHERED or not len(live)):
+                pairs = maybe_alike(np.concatenate(found), *sketched, how.percent) if sketched else np.concatenate(found)
+                yield pa.RecordBatch.from_arrays([pa.array(names[pairs[:, k]].tolist(), pa.binary()) for k in (0, 1)], schema=schema)
+                found, gathered = [], 0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros((0, 2), np.int64), np.zeros(0, "V16"), np.zeros((0, how.words), U), np.zeros((0, 2), U)]
+        held: list[np.ndarray] = []
         for batch in batches:
             if batch.num_rows:
                 joined = [b"".join(batch.column(k).to_pylist()) for k in (2, 3, 4)]
                 rows = [np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], 1), np.frombuffer(joined[0], "V16"), np.frombuffer(joined[1], U).reshape(-1, how.words), np.frombuffer(joined[2], U).reshape(-1, 2)]
-                held = [np.concatenate(x) for x in zip(held, rows, strict=True)]
-            if len(held[0]) >= FRONTIER:
+                rows += [batch.column(5).to_numpy().astype(np.int64), batch.column(6).to_numpy(zero_copy_only=False)] if batch.num_columns > 5 else []
+                held = [np.concatenate(x) for x in zip(held, rows, strict=True)] if held else rows
+            if held and len(held[0]) >= FRONTIER >> 3:
                 before = np.flatnonzero((held[0] != held[0][-1]).any(axis=1))
                 if len(before):
-                    yield paired(*(x[: before[-1] + 1] for x in held))
+                    yield from paired(*(x[: before[-1] + 1] for x in held))
                     held = [x[before[-1] + 1 :] for x in held]
-        if len(held[0]):
-            yield paired(*held)
+        if held:
+            yield from paired(*held)
 
     return run, "u binary, v binary"
 
@@ -450,9 +488,12 @@ def near_links(contents: DataFrame, how: Near = Near(), bucket: int = BUCKET) ->
 
 
 def rest_links(contents: DataFrame, how: Near = Near(), bucket: int | None = None) -> DataFrame:
-    """(u, v): all candidates among contents (content, code, bands, label) of which the labels differ."""
+    """(u, v): the candidates among contents (content, code, bands, label, size, sketch) of which the labels differ.
+
+    Pairs that sizes or sketches prove to be unlike aren't made: their number grows with the square of a group.
+    """
     run, schema = _pair_batches(how)
-    pairs = _dealt(contents, BUCKET if bucket is None else bucket).select("k1", "k2", "content", "code", "label").mapInArrow(run, schema)
+    pairs = _dealt(contents, BUCKET if bucket is None else bucket).select("k1", "k2", "content", "code", "label", "size", "sketch").mapInArrow(run, schema)
     return pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
@@ -482,14 +523,16 @@ def _alike_batches(how: Near):
 
 
 def _wide_batches(how: Near):
-    schema = pa.schema([("doc_id", pa.int64()), ("content", pa.binary()), ("code", pa.binary()), ("bands", pa.list_(pa.int32()))])
+    schema = pa.schema([("doc_id", pa.int64()), ("content", pa.binary()), ("code", pa.binary()), ("bands", pa.list_(pa.int32())), ("size", pa.int32()), ("sketch", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets, found, total = [], [], 0
+            sets, found, total, sizes, sketches = [], [], 0, [], []
             for text in batch.column(2):
                 sets.append(shingle_set(text.as_py(), how.width))
-                total += len(sets[-1])
+                sizes.append(len(sets[-1]))
+                sketches.append(sketch(sets[-1]))
+                total += sizes[-1]
                 if total >= COUNTED:
                     found.append(wide_fingerprints(sets, how.words))
                     sets, total = [], 0
@@ -498,37 +541,37 @@ def _wide_batches(how: Near):
             if found:
                 codes = np.concatenate(found)
                 lists = pa.ListArray.from_arrays(np.arange(0, how.bands * len(codes) + 1, how.bands, dtype=np.int32), band_values(codes, how).ravel())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), lists], schema=schema)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([c.tobytes() for c in codes], pa.binary()), lists, pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary())], schema=schema)
 
-    return run, "doc_id long, content binary, code binary, bands array<int>"
+    return run, "doc_id long, content binary, code binary, bands array<int>, size int, sketch binary"
 
 
 def keep_one(docs: DataFrame, how: Near = Near()) -> DataFrame:
     """Of the rows that near copies join the one of least doc_id, with all its columns (nulls last, then the least content).
 
     Near copies share `how.percent` of their distinct `how.width`-word shingles at least. Wide fingerprints propose them:
-    in each bucket a text is linked with the nearest one before it, then with all that are near enough and not joined to it yet, and
-    the links whose texts aren't similar are dropped.
+    in each bucket a text is linked with the nearest one before it, then with all that are near enough and not joined to it yet, but for
+    those that their sketches prove to be unlike, and the links whose texts aren't similar are dropped.
     Null, empty and blank texts are copies of each other; of equal rows one stays.
     """
     content, first, first_id = fresh(docs, "content", "first", "first_id")
     named = docs.withColumn(content, F.unhex(F.md5(F.coalesce("text", F.lit("")))))
     rows = named.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(content).alias("content"), "text")
-    contents = settled(rows.mapInArrow(*_wide_batches(how)).groupBy("content").agg(F.min("doc_id").alias("least"), F.first("code").alias("code"), F.first("bands").alias("bands"), F.count("*").alias("n")))
+    contents = settled(rows.mapInArrow(*_wide_batches(how)).groupBy("content").agg(F.min("doc_id").alias("least"), F.first("code").alias("code"), F.first("bands").alias("bands"), F.first("size").alias("size"), F.first("sketch").alias("sketch"), F.count("*").alias("n")))
+
+    links = settled(near_links(contents.select("content", "code", "bands"), how))
+    met = links.select(F.explode(F.array("u", "v")).alias("content")).distinct()
+    wanted = contents.join(met, "content").select(F.col("least").alias("its_id"), F.col("content").alias("wanted"))
+    texts = settled(rows.join(wanted, (F.col("content") == F.col("wanted")) & F.col("doc_id").eqNullSafe(F.col("its_id")), "left_semi").select("content", "text").dropDuplicates(["content"]))
 
     def similar(links: DataFrame) -> DataFrame:
-        met = links.select(F.explode(F.array("u", "v")).alias("content")).distinct()
-        wanted = contents.join(met, "content").select(F.col("least").alias("its_id"), F.col("content").alias("wanted"))
-        texts = rows.join(wanted, (F.col("content") == F.col("wanted")) & F.col("doc_id").eqNullSafe(F.col("its_id")), "left_semi").select("content", "text").dropDuplicates(["content"])
         pairs = links.join(texts.select(F.col("content").alias("u"), F.col("text").alias("one")), "u").join(texts.select(F.col("content").alias("v"), F.col("text").alias("other")), "v")
         return pairs.select("u", "v", "one", "other").mapInArrow(*_alike_batches(how))
 
-    links = settled(near_links(contents.select("content", "code", "bands"), how))
     edges = settled(similar(links.filter("u <> v")))
     labels = components(edges)
-    # each text was tried with one other of a bucket; what these links don't join already is tried with all
-    met = links.select(F.explode(F.array("u", "v")).alias("content")).distinct()
-    again = contents.join(met, "content").join(labels, F.col("content") == F.col("node"), "left").select("content", "code", "bands", F.coalesce("label", "content").alias("label"))
+    # each text was tried with one other of a bucket; what these links don't join already is tried with all that could be alike
+    again = contents.join(met, "content").join(labels, F.col("content") == F.col("node"), "left").select("content", "code", "bands", F.coalesce("label", "content").alias("label"), "size", "sketch")
     rest = settled(rest_links(again, how))
     if rest.count():
         labels = components(edges.unionByName(similar(rest)))

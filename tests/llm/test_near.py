@@ -189,3 +189,40 @@ def test_repeated_ids_and_clashing_names(spark):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted(r.content for r in kept.collect()) == ["0", "1"]
+
+
+def test_sketches_prove_only_unlike_pairs():
+    rng = np.random.default_rng(8)
+    sets = [np.unique(rng.integers(0, 2**63, n, dtype=np.uint64)) for n in (1, 2, 5, 30, 140, 150, 900, 9000)]
+    for share in (0.02, 0.05, 0.1, 0.12, 0.3):
+        sets += [np.unique(np.concatenate([s[rng.random(len(s)) >= share], rng.integers(0, 2**63, rng.integers(0, 2 + int(share * len(s))), dtype=np.uint64)])) for s in sets[:8]]
+    sets = [s if len(s) else np.zeros(1, np.uint64) for s in sets]
+    pairs = np.array(list(itertools.combinations(range(len(sets)), 2)))
+    kept = simhash.maybe_alike(pairs, np.array([len(s) for s in sets]), np.array([simhash.sketch(s) for s in sets], object), 80)
+    kept = set(map(tuple, kept.tolist()))
+    true = {(i, j) for i, j in map(tuple, pairs.tolist()) if simhash.alike(sets[i], sets[j], 80)}
+    assert 20 < len(true) <= len(true & kept) and len(kept) < 3 * len(true) < len(pairs) / 2
+
+
+def test_unlike_texts_of_a_large_group_make_no_pairs(spark, monkeypatch):
+    """Texts of one template that are near each other by fingerprint, at a similarity of 0.75: not a row for each two of them."""
+    rng = np.random.default_rng(4)
+    words, texts = [f"w{x}" for x in rng.integers(0, 100_000, 300)], []
+    for k in range(200):
+        copy = [*words]
+        for at in (rng.permutation(58)[:9] * 5 + 4).tolist():
+            copy[at] = f"x{k}"
+        texts.append(" ".join(copy))
+    made = []
+    whole = simhash.rest_links
+
+    def counted(*args):
+        pairs = whole(*args)
+        made.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(simhash, "rest_links", counted)
+    rows = list(enumerate(texts))
+    want = brute(rows)
+    assert {r.doc_id for r in simhash.keep_one(documents(spark, texts)).collect()} == want
+    assert len(want) > 50 and made[0] <= 5 * len(texts)
